@@ -86,18 +86,26 @@ def field_ddl(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-#: Two neighbouring white-space characters, one of them a space: there a cut before the space would change the pre-tokens.
-BESIDE = re.compile(r"\s |[ ]\s")
-CUT = re.compile(r"(?<=\S)(?= \S)")
+_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33))]
+_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: A space beside white space: there a cut before the space would change the pre-tokens.
+_BESIDE = list(dict.fromkeys([c + " " for c in _SPACES] + [" " + c for c in _SPACES]))
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks a piece that no space precedes; a lone surrogate is in no valid text.
+_FIRST = "\ud800"
 
 
 def pieces(text: str) -> list[str]:
-    """The text in parts that a byte-level pre-tokenizer splits alike, alone or together.
+    """The text in parts that a pre-tokenizer which puts a space before a word into its match splits alike, alone or together.
 
-    Such patterns put a single space before a word into the word's match and let no match run over it, so the text may be cut
-    before each space that stands between two visible characters.
+    No match runs over such a space, so the text may be cut before each space between two visible characters. That space is left
+    out; whole() gives a part with it.
     """
-    if BESIDE.search(text):
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    wide = not text.isascii() and any(c in text for c in _WIDE)
+    out = _CUT.split(text) if wide or any(x in text for x in _BESIDE) else text.split(" ")
+    out[0] = _FIRST + out[0]
+    return out
+
+
+def whole(piece: str) -> str:
+    return piece[1:] if piece[:1] == _FIRST else " " + piece

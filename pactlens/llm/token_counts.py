@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pactlens.llm._common import by_bytes, field_ddl, pieces, ship, strings
+from pactlens.llm._common import by_bytes, field_ddl, pieces, ship, strings, whole
 
 #: Distinct pieces of text whose counts a worker remembers before it begins anew.
 CACHE_PIECES = 400_000
@@ -125,7 +125,7 @@ class Counting:
         new = list({x for own in split for x in own if x not in known})
         for at in range(0, len(new), KERNEL_PIECES):
             part = new[at : at + KERNEL_PIECES]
-            found = list(map(self.words.findall, part))
+            found = [self.words.findall(whole(x)) for x in part]
             words = list({w for own in found for w in own})
             n = dict(zip(words, merge_counts(self.table, [w.encode() for w in words]).tolist()))
             known.update((x, sum(map(n.__getitem__, own))) for x, own in zip(part, found))
