@@ -109,3 +109,18 @@ def pieces(text: str) -> list[str]:
 
 def whole(piece: str) -> str:
     return piece[1:] if piece[:1] == _FIRST else " " + piece
+
+
+def write_blobs(df: DataFrame, path: str, *, end: str) -> None:
+    """Each row's first column, binary, becomes a file of its own under `path`, in any store that Spark writes.
+
+    Spark has no sink for bytes, but its text sink writes a string's bytes as they are and, after each, the separator. `end` is that
+    separator, in Latin-1; a file format must allow it as its last bytes.
+    """
+    (column,) = df.columns
+    df.select(df[column].cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of every file that write_blobs wrote; a task gets whole files, so they should be of a bounded size."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

@@ -143,7 +143,7 @@ class Codec:
         if len(self.known) > CACHE_PIECES:
             self.known = {}
         known = self.known
-        new = list({x for own in split for x in own if x not in known})
+        new = list(set().union(*split).difference(known))
         for at in range(0, len(new), QUERY_PIECES):
             part = new[at : at + QUERY_PIECES]
             found = [self.words.findall(whole(x)) for x in part]

@@ -122,7 +122,7 @@ class Counting:
         if len(self.known) > CACHE_PIECES:  # begin anew; results don't depend on it
             self.known = {}
         known = self.known
-        new = list({x for own in split for x in own if x not in known})
+        new = list(set().union(*split).difference(known))
         for at in range(0, len(new), KERNEL_PIECES):
             part = new[at : at + KERNEL_PIECES]
             found = [self.words.findall(whole(x)) for x in part]
