@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm.bpe_codec import encode_decode
 from pactlens.llm.decontam import decontaminate
+from pactlens.llm.line_dedup import dedup_lines
 from pactlens.llm.near_dup import near_duplicates
 from pactlens.llm.quality_rules import quality_rules
 from pactlens.llm.token_binary import token_binary
@@ -99,6 +100,28 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_gone").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+OP10_SQL = """
+WITH l AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+     w AS (SELECT doc_id, i, x, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+     k AS (SELECT *, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda j: array_to_string(w[j:j + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+     c AS (SELECT s, min((doc_id, i)) AS first, len(s) AS n FROM k GROUP BY s),
+     g AS (SELECT first, n, unnest(s) AS t FROM c WHERE n > 2),
+     p AS (SELECT a.first AS x, b.first AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o FROM g a JOIN g b ON a.t = b.t AND a.first < b.first GROUP BY 1, 2),
+     near AS (SELECT DISTINCT y FROM p WHERE 100 * o >= 75 * (nx + ny - o)),
+     gone AS (SELECT k.doc_id, k.i FROM k JOIN c USING (s) WHERE c.first <> (k.doc_id, k.i) OR c.first IN (SELECT y FROM near)),
+     kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS t FROM l LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY l.doc_id),
+     n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_removed,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -108,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_token_binary": op8_token_binary,
         "op9_bpe_codec": op9_bpe_codec,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
@@ -115,5 +139,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_near_duplicates": OP3_SQL,
         "op6_warc": OP6_SQL,
+        "op10_line_dedup": OP10_SQL,
         "op7_decontamination": OP7_SQL,
     }

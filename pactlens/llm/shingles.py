@@ -52,7 +52,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(words: np.ndarray, unit: np.ndarray, n_units: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ordered by unit and hash, and how many each of the n_units has. unit: of each word, ascending."""
+    """Distinct shingle hashes, unit after unit, and how many each of the n_units has. unit: of each word, ascending."""
     n = len(words)
     per = np.bincount(unit, minlength=n_units)
     first = np.cumsum(per) - per
@@ -66,14 +66,25 @@ def sets(words: np.ndarray, unit: np.ndarray, n_units: int) -> tuple[np.ndarray,
         whole = np.full(len(short), np.uint64(int(_PLACE[WIDTH]) * m % (1 << 64)))
         for j in range(m):
             whole += words[first[short] + j] * _PLACE[j]
-        found.append(mix(whole))
-        owner.append(short)
+        if len(short):
+            found.append(mix(whole))
+            owner.append(short)
     hashes, owner = np.concatenate(found), np.concatenate(owner)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    keep = np.ones(len(hashes), bool)
-    keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[keep], np.bincount(owner[keep], minlength=n_units)
+    if np.any((per > 0) & (per < WIDTH)):  # else the units are in order
+        order = np.argsort(owner, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+    # units in which the leading bits of two shingles agree may hold one twice; only those are sorted in full
+    bits = max(1, int(n_units).bit_length())
+    key = np.sort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (hashes >> np.uint64(bits)))
+    twice = np.zeros(n_units, bool)
+    twice[(key[1:][key[1:] == key[:-1]] >> np.uint64(64 - bits)).astype(np.int64)] = True
+    if twice.any():
+        at = np.flatnonzero(twice[owner])
+        order = at[np.lexsort((hashes[at], owner[at]))]
+        again = np.zeros(len(hashes), bool)
+        again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        hashes, owner = hashes[~again], owner[~again]
+    return hashes, np.bincount(owner, minlength=n_units)
 
 
 def text_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
