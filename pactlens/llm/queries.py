@@ -13,6 +13,7 @@ from pactlens.llm.decontam import decontaminate
 from pactlens.llm.line_dedup import dedup_lines
 from pactlens.llm.near_dup import near_duplicates
 from pactlens.llm.quality_rules import quality_rules
+from pactlens.llm.secret_scan import KINDS, scan_secrets
 from pactlens.llm.token_binary import token_binary
 from pactlens.llm.token_counts import count_tokens
 from pactlens.llm.warc import archive
@@ -27,6 +28,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["kind"] != KINDS[-1])
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -125,6 +134,7 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_secret_scan": op2_secret_scan,
         "op3_near_duplicates": op3_near_duplicates,
         "op5_token_counts": op5_token_counts,
         "op6_warc": op6_warc,
