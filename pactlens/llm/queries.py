@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm.bpe_codec import encode_decode
+from pactlens.llm.classifier import classify
 from pactlens.llm.decontam import decontaminate
 from pactlens.llm.line_dedup import dedup_lines
 from pactlens.llm.near_dup import near_duplicates
@@ -53,6 +54,10 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -136,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_secret_scan": op2_secret_scan,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
         "op6_warc": op6_warc,
         "op7_decontamination": op7_decontamination,
