@@ -126,3 +126,12 @@ def decontaminate(
         items.alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, with their columns, in which no window of an item occurs."""
+    stage = Stage(docs.sparkSession, "decontam")
+    _, found = occurrences(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, stage=stage)
+    hit = stage.table(found.select(F.col("k1").alias("__id"), F.col("k2").alias("__of")), "hit")
+    hit = _small(hit, hit.count())
+    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__of")), "left_anti")

@@ -58,8 +58,8 @@ def _longs(rows: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (size of the set), c1, c2 (its name), keys (sub-keys), marks (4 bits of each minhash), prints (21 bits of each sub-key)."""
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text"))
+    """id, version (a hash of the text), n (size of the set), c1, c2 (its name), keys (sub-keys), marks (4 bits of each minhash), prints (21 bits of each sub-key)."""
+    picked = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("__text"))
 
     def run(batches):
         for b in by_bytes(batches, "__text", 4 << 20):
@@ -70,11 +70,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for k in range(R):
                 keys = mix(keys + least[:, k::R])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size.astype(np.int64)), pa.array(c1), pa.array(c2), _longs(keys.view(np.int64)), _longs(packed(mix(least), 4)), _longs(packed(keys, PRINT_BITS))],
-                names=["id", "n", "c1", "c2", "keys", "marks", "prints"],
+                [b.column("id"), b.column("version"), pa.array(size.astype(np.int64)), pa.array(c1), pa.array(c2), _longs(keys.view(np.int64)), _longs(packed(mix(least), 4)), _longs(packed(keys, PRINT_BITS))],
+                names=["id", "version", "n", "c1", "c2", "keys", "marks", "prints"],
             )
 
-    return picked.mapInArrow(run, f"{field_ddl(picked, 'id')}, n long, c1 long, c2 long, keys array<long>, marks array<long>, prints array<long>")
+    return picked.mapInArrow(run, f"{field_ddl(picked, 'id')}, version long, n long, c1 long, c2 long, keys array<long>, marks array<long>, prints array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -148,13 +148,8 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         now = stage.table(small.filter("u <> v").distinct(), f"{name}-{step}")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id of the component) and kept (id_col = component_id), a row a document.
-
-    Null, empty and blank texts have an empty set and are alone; a text of one to four words has its whole sequence as its only
-    shingle. Repeated rows are in one component, and rows that share the smallest id are all kept. A null id is larger than any
-    other; a component of null ids alone has a null component_id, and its rows are kept. Only id_col and text_col are read.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, version, n and component of every row; see near_duplicates."""
     spark = docs.sparkSession
     ship(spark)
     stage = Stage(spark, "near-dup")
@@ -202,6 +197,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = classes.select("c", "id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = joined.groupBy("root").agg(F.min("id").alias("component"))
     named = joined.join(least, "root").select("c", "component")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("c1")).alias("c1")).join(named, F.col("c1") == F.col("c"), "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = rows.select("id", "version", "n", F.when(F.col("n") > 0, F.col("c1")).alias("c1")).join(named, F.col("c1") == F.col("c"), "left")
+    return out.select("id", "version", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id of the component) and kept (id_col = component_id), a row a document.
+
+    Null, empty and blank texts have an empty set and are alone; a text of one to four words has its whole sequence as its only
+    shingle. Repeated rows are in one component, and rows that share the smallest id are all kept. A null id is larger than any
+    other; a component of null ids alone has a null component_id, and its rows are kept. Only id_col and text_col are read.
+    """
+    out = _grouped(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with their columns, that near_duplicates keeps: of each component those with its smallest id."""
+    gone = _grouped(docs, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("version").alias("__of")).distinct()
+    gone = Stage(docs.sparkSession, "near-dup-gone").table(gone, "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__of")), "left_anti")
