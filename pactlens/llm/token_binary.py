@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,10 @@ LANES = 2048
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 23
 INDEX = np.dtype([("first", "<u8"), ("tokens", "<u8"), ("at", "<u8"), ("size", "<u8"), ("lanes", "<u4"), ("crc32", "<u4")])
+#: Distinct pieces, and words without their marks, that a worker remembers before it begins anew.
 CACHE_PIECES = 400_000
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Frequencies:
@@ -140,57 +144,85 @@ def decode_file(table: Frequencies, data: bytes, blocks: slice = slice(None)) ->
 
 
 class Tokenizing:
-    """Ids of texts by the tokenizers library, which sees each distinct run of text between spaces or line feeds once.
+    """Ids of texts by the tokenizers library, which sees each distinct word once.
 
-    The vocabulary's pre-tokenizer drops white space and no match, special token or normalization runs over it.
+    The vocabulary's pre-tokenizer drops white space, no match, special token or normalization runs over it, and letters are
+    lower-cased. So texts are cut at spaces and line feeds; ASCII letters are lower-cased, as the library would, and a run of ASCII marks after an ASCII letter, a pre-token of its own, is looked up by itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.library, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        self.model = self.library.model
+        self.known: dict[bytes, bytes] = {}
+        self.bases: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    @staticmethod
+    def split(piece: bytes) -> tuple[bytes, bytes]:
+        base = piece.rstrip(MARKS)
+        if len(base) == len(piece) or b"<|" in piece:
+            return piece, b""
+        return (base, piece[len(base) :]) if base[-1:].isalpha() else (piece, b"")
+
+    def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]  # special tokens are not lower-cased
         if len(self.known) > CACHE_PIECES:
             self.known = {}
-        known = self.known
+        if len(self.bases) > CACHE_PIECES:
+            self.bases = {}
+        known, bases = self.known, self.bases
         new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+        parts = list(map(self.split, new))
+        fresh = list({x for pair in parts for x in pair}.difference(bases))
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            plain, rest = [], []
+            for x in some:  # lower-cased ASCII letters are a pre-token as they stand; the model alone does the rest
+                (plain if x.isalpha() and x.islower() else rest).append(x)
+            for x in plain:
+                bases[x] = array(self.code, [t.id for t in self.model.tokenize(x.decode())]).tobytes()
+            for x, e in zip(rest, self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
+                bases[x] = array(self.code, e.ids).tobytes()
+        known.update((x, bases[a] + bases[b]) for x, (a, b) in zip(new, parts))
         return [b"".join(map(known.__getitem__, own)) + end for own in split]
 
 
 @lru_cache(maxsize=1)
-def tokenizing(path: str) -> Tokenizing:
-    return Tokenizing(path)
+def tokenizing(path: str, width: int) -> Tokenizing:
+    return Tokenizing(path, width)
+
+
+def id_width(vocabulary: str, end_id: int) -> int:
+    """Bytes that hold any id of the vocabulary: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 > end_id else 4
 
 
-def token_ids(df: DataFrame, vocabulary: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """ids (little-endian unsigned 32-bit, binary): the library's for the whole text, then end_id. Null counts as empty."""
+def token_ids(df: DataFrame, vocabulary: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """ids (little-endian unsigned integers of `width` bytes): the library's for the whole text, then end_id. Null counts as empty."""
     ship(df.sparkSession)
-    end = end_id.to_bytes(4, "little")
+    end = end_id.to_bytes(width, "little")
 
     def run(batches):
-        own = tokenizing(vocabulary)
+        own = tokenizing(vocabulary, width)
         for b in by_bytes(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.ids(strings(b.column("__text")), end), pa.binary())], names=[id_col, "ids"])
+            texts = [x or b"" for x in b.column("__text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.ids(texts, end), pa.binary())], names=[id_col, "ids"])
 
     picked = df.select(df[id_col], df[text_col].alias("__text"))
     return picked.mapInArrow(run, f"{field_ddl(picked, id_col)}, ids binary")
 
 
-def frequencies(ids: DataFrame, id_count_limit: int = 1 << BITS) -> Frequencies:
+def frequencies(ids: DataFrame, width: int, id_count_limit: int = 1 << BITS) -> Frequencies:
     """Counts of all ids of the corpus, one number for each id of the vocabulary, scaled. The driver gets no more than that."""
 
     def run(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
             for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         at = np.flatnonzero(total)
@@ -200,7 +232,7 @@ def frequencies(ids: DataFrame, id_count_limit: int = 1 << BITS) -> Frequencies:
     return Frequencies(rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
-def write_ids(ids: DataFrame, table: Frequencies, path: str, *, id_col: str = "doc_id", file_tokens: int = FILE_TOKENS) -> None:
+def write_ids(ids: DataFrame, table: Frequencies, path: str, *, width: int, id_col: str = "doc_id", file_tokens: int = FILE_TOKENS) -> None:
     """Files of (id_col, ids) in ascending order of id_col, nulls first; repeated ids follow the order of their bytes."""
     spark = ids.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -215,14 +247,14 @@ def write_ids(ids: DataFrame, table: Frequencies, path: str, *, id_col: str = "d
         def flush():
             nonlocal held, tokens, number
             docs = pa.table({id_col: pa.concat_arrays([x[0] for x in held]), "tokens": pa.array(np.concatenate([x[1] for x in held]))})
-            data = encode_file(table, np.frombuffer(b"".join(y for x in held for y in x[2]), "<u4"), docs, partition, number)
+            data = encode_file(table, np.frombuffer(b"".join(y for x in held for y in x[2]), f"<u{width}").astype(np.uint32), docs, partition, number)
             held, tokens, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["file"])
 
         for batch in batches:
-            for b in by_bytes([batch], "ids", 4 * file_tokens):
+            for b in by_bytes([batch], "ids", width * file_tokens):
                 raw = b.column("ids").to_pylist()
-                size = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+                size = np.fromiter((len(x) // width for x in raw), np.int64, len(raw))
                 if held and tokens + size.sum() > file_tokens:
                     yield flush()
                 held.append((b.column(0), size, raw))
@@ -268,9 +300,10 @@ def token_binary(df: DataFrame, vocabulary: str, *, end_id: int = 1, id_col: str
     """
     spark = df.sparkSession
     stage = Stage(spark, "token-binary")
-    ids = stage.table(token_ids(df, vocabulary, end_id, id_col=id_col, text_col=text_col), "ids")
-    table = frequencies(ids)
-    write_ids(ids, table, stage.at("files"), id_col=id_col)
+    width = id_width(vocabulary, end_id)
+    ids = stage.table(token_ids(df, vocabulary, end_id, id_col=id_col, text_col=text_col, width=width), "ids")
+    table = frequencies(ids, width)
+    write_ids(ids, table, stage.at("files"), width=width, id_col=id_col)
     stage.drop("ids")
     docs = stage.table(read_ids(spark, stage.at("files"), table, df, id_col=id_col).drop("ids"), "documents")
     files = docs.groupBy("part", "number").agg(F.sum("n_tokens").alias("tokens"))  # one row a file
