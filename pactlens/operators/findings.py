@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,17 +131,28 @@ def best_by_quote(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__key", key).withColumn("__n", rank).filter("length(__key) <= 20 OR __n = 1").drop("__key", "__n")
 
 
+MERGE_NAMES = ["doc_id", "seq", "idx", "category_id", "severity", "is_unfair", "quote", "explanation", "what", "refs"]
 MERGE_FIELDS = "seq int, idx int, category_id string, severity string, is_unfair boolean, quote string, explanation string, what string, refs array<string>"
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:
-    """Findings of one document and category merged within a paragraph, then over nearby ones (see _merge_group).
+    """Findings of one document and category merged within a paragraph, then over nearby ones (see merge_group).
 
     Clusters are stars around their first finding, so the walk is sequential; its group is a document's findings of one category.
     """
     prepared = best_by_quote(dedupe_exact(findings)).select("doc_id", "seq", "idx", "category_id", "severity", "is_unfair", "quote", "explanation", "what", "refs", match_key(F.col("quote")).alias("key"))
     kind = findings.schema["doc_id"].dataType.simpleString()
-    return prepared.groupBy("doc_id", "category_id").applyInPandas(_merge_group, f"doc_id {kind}, {MERGE_FIELDS}")
+    fields = ["seq", "idx", "severity", "is_unfair", "quote", "explanation", "what", "refs", "key"]
+    grouped = prepared.groupBy("doc_id", "category_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+
+    def run(batches):
+        for b in batches:
+            out = [(doc, f["seq"], f["idx"], category, *[f[c] for c in fields[2:8]]) for doc, category, rows in zip(*(b.column(i).to_pylist() for i in range(3))) for f in merge_group(rows)]
+            types = [b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+            columns = list(zip(*out)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=MERGE_NAMES)
+
+    return grouped.mapInArrow(run, f"doc_id {kind}, {MERGE_FIELDS}")
 
 
 def _related(a: str, b: str, strict: bool) -> bool:
@@ -162,8 +173,8 @@ def _related(a: str, b: str, strict: bool) -> bool:
     return len(set(telling(u)) & set(telling(v))) >= 3 or sum(t in longer for t in own) >= max(3, 0.5 * len(own))
 
 
-def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
-    items = rows.sort_values("seq").to_dict("records")
+def merge_group(items: list[dict]) -> list[dict]:
+    """The findings of one document and category, in order of seq, after merging."""
     core = lambda f: (f["what"].strip(), f["explanation"].strip(), f["severity"], bool(f["is_unfair"]), tuple(sorted(str(r).strip() for r in f["refs"])))
 
     def stars(pool: list[dict], joins) -> list[list[dict]]:
@@ -201,7 +212,7 @@ def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
             merged["severity"] = max((f["severity"] for f in s), key=lambda x: order.get(x, 0))
             merged["is_unfair"] = any(f["is_unfair"] for f in s)
         out.append(merged)
-    return pd.DataFrame(out)[["doc_id", "seq", "idx", "category_id", "severity", "is_unfair", "quote", "explanation", "what", "refs"]]
+    return out
 
 
 def summarize(findings: DataFrame) -> DataFrame:
