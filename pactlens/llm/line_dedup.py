@@ -109,11 +109,33 @@ def sets_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "c long, s array<long>").join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
+#: Bits of a token's row for the set's size and the token's place in the order; what is larger is not filtered.
+SIZE_BITS, PLACE_BITS = 22, 20
+
+
+def packed(order: Column, n: Column, p: Column) -> Column:
+    """One number of the coarse order of the document, the set's size and the token's place; smaller for earlier documents."""
+    size, place = F.least(n, F.lit((1 << SIZE_BITS) - 1)), F.least(p, F.lit((1 << PLACE_BITS) - 1))
+    return F.shiftleft(order, SIZE_BITS + PLACE_BITS).bitwiseOR(F.shiftleft(size.cast("long"), PLACE_BITS)).bitwiseOR(place.cast("long"))
+
+
+def coarse_order(docs: DataFrame) -> Column:
+    """The place of an integer id between the least and the greatest, in 20 bits; it only chooses which set of a token is the star."""
+    if docs.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return F.lit(0).cast("long")
+    low, high = docs.agg(F.min("id"), F.max("id")).first()
+    if low is None or high == low:
+        return F.lit(0).cast("long")
+    return F.coalesce(((F.col("id") - F.lit(low)) * F.lit((1 << 20) - 1) / F.lit(high - low)).cast("long"), F.lit(0).cast("long"))
+
+
 def _could_match(a: Column, b: Column) -> Column:
-    """Length filter, and positional filter: with this as the first common token the rest must hold enough. Of (n, p) in one number."""
-    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
-    rest = F.least(na - a.bitwiseAND(F.lit(0xFFFFFFFF)), nb - b.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (100 * F.least(na, nb) >= THRESHOLD * F.greatest(na, nb)) & ((100 + THRESHOLD) * rest >= THRESHOLD * (na + nb))
+    """Length filter, and positional filter: with this as the first common token the rest must hold enough."""
+    n = lambda x: F.shiftright(x, PLACE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    p = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    large = (F.greatest(n(a), n(b)) == (1 << SIZE_BITS) - 1) | (F.greatest(p(a), p(b)) == (1 << PLACE_BITS) - 1)
+    rest = F.least(n(a) - p(a), n(b) - p(b))
+    return large | ((100 * F.least(n(a), n(b)) >= THRESHOLD * F.greatest(n(a), n(b))) & ((100 + THRESHOLD) * rest >= THRESHOLD * (n(a) + n(b))))
 
 
 def _later(pairs: DataFrame, sets: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -131,12 +153,11 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     lines = stage.table(scan(docs, rarity(docs, "__text")), "lines")
     firsts = stage.table(lines.groupBy("c").agg(F.min(F.struct("id", "version", "line")).alias("first")), "firsts")
 
-    # under each token the set of the smallest id is the star; tokens that one set alone has leave at once
-    long = lines.filter(F.size("tokens") > 0).select("c", "n", "tokens").dropDuplicates(["c"]).join(firsts, "c")
-    dealt = long.select("c", F.col("first.id").alias("id"), "n", F.posexplode("tokens").alias("p", "token"))
-    dealt = dealt.select("token", "c", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
+    # under each token a set of the first documents is the star; tokens that one set alone has leave at once
+    dealt = lines.select("c", coarse_order(docs).alias("o"), "n", F.posexplode("tokens").alias("p", "token"))
+    dealt = dealt.select("token", "c", packed(F.col("o"), F.col("n"), F.col("p")).alias("np"))
     by_token = Window.partitionBy("token")
-    grouped = dealt.withColumn("head", F.min(F.struct("id", "c", "np")).over(by_token)).withColumn("last", F.max("c").over(by_token)).withColumn("least", F.min("c").over(by_token))
+    grouped = dealt.withColumn("head", F.min(F.struct("np", "c")).over(by_token)).withColumn("last", F.max("c").over(by_token)).withColumn("least", F.min("c").over(by_token))
     grouped = stage.table(grouped.filter("least < last").drop("last", "least"), "grouped")
     others = grouped.filter("c <> head.c")
     star = stage.table(others.filter(_could_match(F.col("np"), F.col("head.np"))).select(F.col("head.c").alias("a"), F.col("c").alias("b")).distinct(), "star")
@@ -179,20 +200,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(docs[id_col].alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long").alias("version"), docs[text_col].alias("__text"))
     gone = stage.table(removed_lines(keyed, stage), "gone")
     whole = docs.withColumn("__version", F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("version").alias("__of"), "gone")
-    if gone.agg(F.sum(1 + F.size("gone"))).first()[0] in range(BROADCAST_LINES):
+    gone = gone.select(F.col("id").alias("__id"), F.col("version").alias("__of"), F.col("gone").alias("__lines"))
+    if gone.agg(F.sum(1 + F.size("__lines"))).first()[0] in range(BROADCAST_LINES):
         gone = F.broadcast(gone)
     joined = whole.join(gone, whole[id_col].eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__of")), "left")
     numbered = F.split(F.col(text_col), "\n")
 
     def left(parts: Column) -> Column:
-        stay = F.array_except(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i.cast("long")), F.col("gone"))
+        stay = F.array_except(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i.cast("long")), F.col("__lines"))
         return F.array_join(F.transform(stay, lambda i: F.get(parts, i.cast("int"))), "\n")
 
     worded = F.size(F.filter(numbered, lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
     out = joined.withColumn("__n_lines", F.coalesce(worded, F.lit(0).cast("long")))
-    out = out.withColumn("__n_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    out = out.withColumn("__n_gone", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
     if drop_emptied:
         out = out.filter("__n_lines = 0 OR __n_gone < __n_lines")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(let(numbered, left))
+    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(let(numbered, left))
     return out.withColumn(text_col, text).select(*docs.columns, "__n_lines", "__n_gone")
