@@ -180,15 +180,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stage.drop("star-sets")
     roots = stage.table(components(links, stage, "first"), "first-roots")
 
-    # the rest of the pairs: classes that share a bucket, but no component
+    # the rest of the pairs: classes that share a bucket, but no component; those outside the bucket's largest component meet all others
     placed = shared.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    alive = placed.join(apart, "key", "left_semi").join(classes.select("c", "n", "marks", "prints"), "c").select("key", "at", "c", "root", "n", "marks", "prints")
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("top.root").alias("main"))
+    alive = placed.join(mixed, "key").join(classes.select("c", "n", "marks", "prints"), "c").select("key", "at", "c", "root", "main", "n", "marks", "prints")
     alive = stage.table(alive, "apart")
-    x, y = alive.alias("x"), alive.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
+    x, y = alive.filter("root <> main").alias("x"), alive.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
     rest = x.join(y, meet & _could_link("x", "y") & _first_table(F.col("x.at"), F.col("x.prints"), F.col("y.prints")))
-    rest = rest.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).join(star, ["a", "b"], "left_anti").distinct()
+    rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).join(star, ["a", "b"], "left_anti").distinct()
     rest = stage.table(rest, "rest")
     more = stage.table(verified(rest, fetch(rest, "rest-sets")), "rest-links")
     stage.drop("rest-sets", "apart", "shared")
