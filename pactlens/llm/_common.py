@@ -13,8 +13,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that a Python worker holds at once (one document may exceed it).
-BATCH_BYTES = 8 << 20
+#: Text bytes that a Python worker holds at once (one document may exceed it), and rows that Spark sends it at once.
+BATCH_BYTES = 4 << 20
+ARROW_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,8 +49,10 @@ class Stage:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, also where it is not installed."""
+    """Make this package importable on every executor, also where it is not installed, and keep Arrow batches small."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(ARROW_ROWS, int(spark.conf.get(rows, "10000")) or ARROW_ROWS))
     if getattr(sc, "_pactlens_shipped", False):
         return
     top = Path(__file__).resolve().parents[2]

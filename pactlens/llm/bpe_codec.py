@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pactlens.llm._common import by_bytes, field_ddl, pieces, ship, strings, whole
 
 #: Distinct pieces of text and pre-tokens whose ids a worker remembers before it begins anew.
-CACHE_PIECES, CACHE_WORDS = 250_000, 500_000
+CACHE_PIECES, CACHE_WORDS = 80_000, 200_000
 #: Pieces that go through one recursive query.
-QUERY_PIECES = 100_000
+QUERY_PIECES = 20_000
+#: Text bytes encoded and decoded at once.
+BATCH = 1 << 20
 #: Longer pre-tokens (runs of letters without a space) are merged with a heap: the recursive query contracts one pair of a word
 #: in a step, which takes time with the square of the word's length.
 LONG_BYTES = 256
@@ -85,7 +87,7 @@ def merge_by_heap(ranks: dict[bytes, int], word: bytes) -> list[int]:
 class Codec:
     """Encodes and decodes batches of texts in a DuckDB of its own."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "300MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "120MB"):
         import duckdb
         import regex
 
@@ -183,7 +185,7 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
 
     def run(batches):
         codec = codec_of(vocabulary, pattern)
-        for b in by_bytes(batches, "__text"):
+        for b in by_bytes(batches, "__text", BATCH):
             ids = codec.encode(strings(b.column("__text")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(codec.decode(ids), pa.binary())], names=[id_col, "ids", "decoded"])
 
