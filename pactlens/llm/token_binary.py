@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm._common import Stage, by_bytes, field_ddl, read_blobs, ship, strings, write_blobs
+from pactlens.llm._common import Stage, by_bytes, field_ddl, read_blobs, ship, write_blobs
 
 MAGIC = b"RANSIDS1"
 #: Lower bound of a lane's state; states stay below 2**63 and are renormalized by 32-bit words.
@@ -143,6 +143,18 @@ def decode_file(table: Frequencies, data: bytes, blocks: slice = slice(None)) ->
     return (partition, number), np.concatenate(out) if out else np.zeros(0, np.uint32), listed
 
 
+class Remembered(dict):
+    """Values by key, each made when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Tokenizing:
     """Ids of texts by the tokenizers library, which sees each distinct word once.
 
@@ -155,37 +167,26 @@ class Tokenizing:
 
         self.library, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
         self.model = self.library.model
-        self.known: dict[bytes, bytes] = {}
-        self.bases: dict[bytes, bytes] = {}
+        self.known, self.bases = Remembered(self.piece), Remembered(self.base)
+
+    def base(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # lower-cased ASCII letters are a pre-token as they stand; the model alone does the rest
+            return array(self.code, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        return array(self.code, self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
-    @staticmethod
-    def split(piece: bytes) -> tuple[bytes, bytes]:
+    def piece(self, piece: bytes) -> bytes:
         base = piece.rstrip(MARKS)
-        if len(base) == len(piece) or b"<|" in piece:
-            return piece, b""
-        return (base, piece[len(base) :]) if base[-1:].isalpha() else (piece, b"")
+        if len(base) < len(piece) and base[-1:].isalpha() and b"<|" not in piece:
+            return self.bases[base] + self.bases[piece[len(base) :]]
+        return self.bases[piece]
 
     def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]  # special tokens are not lower-cased
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        if len(self.bases) > CACHE_PIECES:
-            self.bases = {}
-        known, bases = self.known, self.bases
-        new = list(set().union(*split).difference(known))
-        parts = list(map(self.split, new))
-        fresh = list({x for pair in parts for x in pair}.difference(bases))
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            plain, rest = [], []
-            for x in some:  # lower-cased ASCII letters are a pre-token as they stand; the model alone does the rest
-                (plain if x.isalpha() and x.islower() else rest).append(x)
-            for x in plain:
-                bases[x] = array(self.code, [t.id for t in self.model.tokenize(x.decode())]).tobytes()
-            for x, e in zip(rest, self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
-                bases[x] = array(self.code, e.ids).tobytes()
-        known.update((x, bases[a] + bases[b]) for x, (a, b) in zip(new, parts))
-        return [b"".join(map(known.__getitem__, own)) + end for own in split]
+        for kept in (self.known, self.bases):
+            if len(kept) > CACHE_PIECES:
+                kept.clear()
+        look = self.known.__getitem__
+        # special tokens are not lower-cased
+        return [b"".join(map(look, (t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" "))) + end for t in texts]
 
 
 @lru_cache(maxsize=1)
