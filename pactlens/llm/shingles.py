@@ -115,6 +115,23 @@ def identity(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(_sums(mix(hashes ^ salt), size).view(np.int64) for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)))
 
 
+def parity(hashes: np.ndarray, size: np.ndarray, longs: int) -> np.ndarray:
+    """A row of 64 * longs bits for each set: a bit is set if an odd number of the set's hashes fall on it.
+
+    A bit in which two rows differ stands for a hash that only one of the sets has. So the number of such bits never exceeds the
+    size of the symmetric difference.
+    """
+    out = np.zeros((len(size), longs), np.uint64)
+    full = np.flatnonzero(size)
+    start = (np.cumsum(size) - size)[full]
+    if len(full):
+        bit = np.uint64(1) << (hashes & np.uint64(63))
+        place = (hashes >> np.uint64(6)) % np.uint64(longs)
+        for k in range(longs):
+            out[full, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), start)
+    return out.view(np.int64)
+
+
 def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
     end = np.cumsum(size)
