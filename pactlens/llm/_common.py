@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -19,9 +20,11 @@ ARROW_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on one machine, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pactlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -47,6 +50,11 @@ class Stage:
             path = jvm.org.apache.hadoop.fs.Path(self.at(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Let the driver find plans that are no longer in use, so that Spark deletes their shuffle files now and not at some later time."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, also where it is not installed, and keep Arrow batches small."""

@@ -7,6 +7,9 @@ those prefixes are joined, under the length filter and the positional filter, an
 A line goes if an earlier line of the corpus, in the order (document, line), is equal or similar to it. Only the existence of one
 earlier match matters: under each prefix token a set first meets the earliest one alone (a star); those still without a match meet
 the others. Rarity only orders tokens, and any one order gives the same result: counts are kept in a table of a fixed size.
+
+Before full sets are fetched, parity bitmaps refute candidates; they bound the symmetric difference from below and lose no pair. Lines
+are equal if both 64-bit names of their sets are; pairs of candidates go by the first name alone, and all sets of that name are verified.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm._common import Stage, by_bytes, field_ddl, ship, strings
 from pactlens.llm.native import BLANKS, let
-from pactlens.llm.shingles import identity, line_sets
+from pactlens.llm.shingles import identity, line_sets, parity
 
 #: Similarity in hundredths from which two lines match.
 THRESHOLD = 75
@@ -28,7 +31,9 @@ RARITY_CELLS = 1 << 18
 BROADCAST_IDS = 500_000
 #: Removed lines (and their documents) up to which they go to the texts by a broadcast, about 16 bytes each; else by a join.
 BROADCAST_LINES = 2_000_000
-BATCH = 4 << 20
+BATCH = 2 << 20
+#: Columns of the wide parity bitmap, 64 bits each.
+WIDE = ["w1", "w2", "w3", "w4"]
 
 
 def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -65,15 +70,15 @@ def ranked(hashes: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def scan(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row for each line with words; tokens of its prefix, empty where the batch has sent the set's already, or where a set of one
-    or two tokens can match equal sets alone."""
+    """A row for each line with words: its place, its set's name (c, b) and size n; tokens of its prefix, empty where the batch has
+    sent the set's already, or where a set of one or two tokens can match equal sets alone; a small parity bitmap, and a wide one."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # RARITY_CELLS numbers
 
     def run(batches):
         counts = shared.value
         for b in by_bytes(batches, "__text", BATCH):
             hashes, size, text, line = line_sets(strings(b.column("__text")))
-            c, _ = identity(hashes, size)
+            c, b1 = identity(hashes, size)
             first = np.zeros(len(c), bool)
             first[np.unique(c, return_index=True)[1]] = True
             send = first & (size > 2)
@@ -85,14 +90,21 @@ def scan(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             sent[send] = prefix_length(n)
             at = np.concatenate((np.zeros(1, np.int64), np.cumsum(sent))).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(held[order][place < np.repeat(prefix_length(n), n)].view(np.int64)))
+            small = np.zeros(len(size), np.int64)
+            small[send] = parity(held % np.uint64(PARITY_BITS), n, 1)[:, 0]
+            wide = np.zeros((len(size), len(WIDE)), np.int64)
+            wide[send] = parity(held, n, len(WIDE))
             rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("version").take(rows), pa.array(line.astype(np.int64)), pa.array(c), pa.array(size.astype(np.int64)), tokens], names=["id", "version", "line", "c", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(rows), b.column("version").take(rows), pa.array(line.astype(np.int64)), pa.array(c), pa.array(b1), pa.array(size.astype(np.int64)), tokens, pa.array(small), *map(pa.array, wide.T)],
+                names=["id", "version", "line", "c", "b", "n", "tokens", "parity", *WIDE],
+            )
 
-    return docs.mapInArrow(run, f"{field_ddl(docs, 'id')}, version long, line long, c long, n long, tokens array<long>")
+    return docs.mapInArrow(run, f"{field_ddl(docs, 'id')}, version long, line long, c long, b long, n long, tokens array<long>, parity long, {', '.join(f'{w} long' for w in WIDE)}")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c and s, the hashes, of the wanted sets among the lines of the documents in ids.id."""
+    """c, b and s, the hashes, of the wanted sets among the lines of the documents in ids.id."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     picked = docs.join(ids.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("__text")
@@ -100,89 +112,124 @@ def sets_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for b in by_bytes(batches, "__text", BATCH):
             hashes, size, *_ = line_sets(strings(b.column("__text")))
-            c1, _ = identity(hashes, size)
+            c, b1 = identity(hashes, size)
             big = np.flatnonzero(size > 2)
-            keep = np.repeat(size > 2, size)
             at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[big]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c1[big]), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[keep].view(np.int64)))], names=["c", "s"])
+            found = pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[np.repeat(size > 2, size)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c[big]), pa.array(b1[big]), found], names=["c", "b", "s"])
 
-    return picked.mapInArrow(run, "c long, s array<long>").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    return picked.mapInArrow(run, "c long, b long, s array<long>").join(wanted, "c", "left_semi").dropDuplicates(["c", "b"])
 
 
-#: Bits of a token's row for the set's size and the token's place in the order; what is larger is not filtered.
-SIZE_BITS, PLACE_BITS = 22, 20
+#: Bits of a token's row for the coarse order of the document, a parity bitmap of the set, the set's size and the token's place in the
+#: order; sizes and places that are larger are not filtered.
+ORDER_BITS, PARITY_BITS, SIZE_BITS, PLACE_BITS = 12, 21, 16, 14
 
 
-def packed(order: Column, n: Column, p: Column) -> Column:
-    """One number of the coarse order of the document, the set's size and the token's place; smaller for earlier documents."""
+def packed(order: Column, parity: Column, n: Column, p: Column) -> Column:
+    """All in one number, smaller for earlier documents."""
     size, place = F.least(n, F.lit((1 << SIZE_BITS) - 1)), F.least(p, F.lit((1 << PLACE_BITS) - 1))
-    return F.shiftleft(order, SIZE_BITS + PLACE_BITS).bitwiseOR(F.shiftleft(size.cast("long"), PLACE_BITS)).bitwiseOR(place.cast("long"))
+    out = F.shiftleft(order, PARITY_BITS).bitwiseOR(parity)
+    return F.shiftleft(F.shiftleft(out, SIZE_BITS).bitwiseOR(size.cast("long")), PLACE_BITS).bitwiseOR(place.cast("long"))
+
+
+def _size(np: Column) -> Column:
+    return F.shiftright(np, PLACE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
 
 
 def coarse_order(docs: DataFrame) -> Column:
-    """The place of an integer id between the least and the greatest, in 20 bits; it only chooses which set of a token is the star."""
+    """The place of an integer id between the least and the greatest, in ORDER_BITS bits; it only chooses which set of a token is the star."""
     if docs.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         return F.lit(0).cast("long")
     low, high = docs.agg(F.min("id"), F.max("id")).first()
     if low is None or high == low:
         return F.lit(0).cast("long")
-    return F.coalesce(((F.col("id") - F.lit(low)) * F.lit((1 << 20) - 1) / F.lit(high - low)).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(((F.col("id") - F.lit(low)) * F.lit((1 << ORDER_BITS) - 1) / F.lit(high - low)).cast("long"), F.lit(0).cast("long"))
+
 
+def _bits_allow(apart: Column, sizes: Column) -> Column:
+    """Similar sets differ in (1 - s) / (1 + s) of the sum of their sizes at most."""
+    return (100 + THRESHOLD) * apart <= (100 - THRESHOLD) * sizes
 
-def _could_match(a: Column, b: Column) -> Column:
-    """Length filter, and positional filter: with this as the first common token the rest must hold enough."""
-    n = lambda x: F.shiftright(x, PLACE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
-    p = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    large = (F.greatest(n(a), n(b)) == (1 << SIZE_BITS) - 1) | (F.greatest(p(a), p(b)) == (1 << PLACE_BITS) - 1)
-    rest = F.least(n(a) - p(a), n(b) - p(b))
-    return large | ((100 * F.least(n(a), n(b)) >= THRESHOLD * F.greatest(n(a), n(b))) & ((100 + THRESHOLD) * rest >= THRESHOLD * (n(a) + n(b))))
+
+def _could_match(a: str, b: str) -> Column:
+    """Length filter, bitmap filters, and positional filter: with this as the first common token the rest must hold enough."""
+    x, y = F.col(f"{a}.np"), F.col(f"{b}.np")
+    p = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    na, nb = _size(x), _size(y)
+    large = (F.greatest(na, nb) == (1 << SIZE_BITS) - 1) | (F.greatest(p(x), p(y)) == (1 << PLACE_BITS) - 1)
+    rest = F.least(na - p(x), nb - p(y))
+    apart = F.bit_count(F.shiftright(x.bitwiseXOR(y), SIZE_BITS + PLACE_BITS).bitwiseAND(F.lit((1 << PARITY_BITS) - 1)))
+    wide = F.lit(0)
+    for w in WIDE:
+        wide = wide + F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
+    near = (100 * F.least(na, nb) >= THRESHOLD * F.greatest(na, nb)) & _bits_allow(apart, na + nb) & _bits_allow(wide, na + nb)
+    return large | (near & ((100 + THRESHOLD) * rest >= THRESHOLD * (na + nb)))
+
+
+def _with(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
+    """The pairs with the columns of the sets of the name on one side, their names preceded by it."""
+    named = table.select(*[F.col(c).alias(side if c == "c" else f"{side}_{c}") for c in table.columns])
+    return pairs.join(named, side)
 
 
 def _later(pairs: DataFrame, sets: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) whose full sets reach the threshold, the set c that first stands later in the corpus."""
-    right = pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    both = right.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-    same = F.size(F.array_intersect("sa", "sb"))
-    sure = both.filter(100 * same >= THRESHOLD * (F.size("sa") + F.size("sb") - same)).select("a", "b")
-    placed = sure.join(firsts.select(F.col("c").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("c").alias("b"), F.col("first").alias("fb")), "b")
-    return placed.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
+    """Of the pairs whose full sets reach the threshold, the set (c, b) that first stands later in the corpus."""
+    both = _with(_with(pairs, "b", sets), "a", sets)
+    same = F.size(F.array_intersect("a_s", "b_s"))
+    sure = both.filter(100 * same >= THRESHOLD * (F.size("a_s") + F.size("b_s") - same)).select("a", "a_b", "b", "b_b")
+    first = lambda side: firsts.select(F.col("c").alias(side), F.col("b").alias(f"{side}_b"), F.col("first").alias(f"{side}_first"))
+    placed = sure.join(first("a"), ["a", "a_b"]).join(first("b"), ["b", "b_b"])
+    later = F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("c"), F.col("b_b").alias("b")))
+    return placed.select(later.otherwise(F.struct(F.col("a").alias("c"), F.col("a_b").alias("b"))).alias("x")).select("x.*").distinct()
 
 
 def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     """(id, version, gone): the numbers of the lines that go, for each document with any. docs: id, version, __text."""
     lines = stage.table(scan(docs, rarity(docs, "__text")), "lines")
-    firsts = stage.table(lines.groupBy("c").agg(F.min(F.struct("id", "version", "line")).alias("first")), "firsts")
+    firsts = stage.table(lines.groupBy("c", "b").agg(F.min(F.struct("id", "version", "line")).alias("first")), "firsts")
+    info = lines.filter(F.size("tokens") > 0).select("c", *WIDE).dropDuplicates(["c"])
 
-    # under each token a set of the first documents is the star; tokens that one set alone has leave at once
-    dealt = lines.select("c", coarse_order(docs).alias("o"), "n", F.posexplode("tokens").alias("p", "token"))
-    dealt = dealt.select("token", "c", packed(F.col("o"), F.col("n"), F.col("p")).alias("np"))
+    # tokens that one set alone has leave at once; then the wide bitmaps come in, and each token's star, a set of the first documents
+    dealt = lines.select("c", coarse_order(docs).alias("o"), "parity", "n", F.posexplode("tokens").alias("p", "token"))
+    dealt = dealt.select("token", "c", packed(F.col("o"), F.col("parity"), F.col("n"), F.col("p")).alias("np"))
     by_token = Window.partitionBy("token")
-    grouped = dealt.withColumn("head", F.min(F.struct("np", "c")).over(by_token)).withColumn("last", F.max("c").over(by_token)).withColumn("least", F.min("c").over(by_token))
-    grouped = stage.table(grouped.filter("least < last").drop("last", "least"), "grouped")
+    several = dealt.withColumn("last", F.max("c").over(by_token)).withColumn("least", F.min("c").over(by_token)).filter("least < last")
+    several = stage.table(several.select("token", "c", "np"), "several")
+    stage.free()
+    grouped = several.join(info, "c").withColumn("head", F.min(F.struct("np", "c", *WIDE)).over(by_token))
+    grouped = stage.table(grouped.select("token", "c", "np", *WIDE, "head"), "grouped")
+    stage.drop("several")
+    stage.free()
     others = grouped.filter("c <> head.c")
-    star = stage.table(others.filter(_could_match(F.col("np"), F.col("head.np"))).select(F.col("head.c").alias("a"), F.col("c").alias("b")).distinct(), "star")
 
-    def fetch(pairs: DataFrame, name: str) -> DataFrame:
+    def paired(candidates: DataFrame, first: str, second: str) -> DataFrame:
+        return candidates.select(F.least(f"{first}.c", f"{second}.c").alias("a"), F.greatest(f"{first}.c", f"{second}.c").alias("b")).distinct()
+
+    def matches(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stage.table(pairs, name)
         needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b"))).distinct()
         ids = needed.join(firsts.select("c", F.col("first.id").alias("id")), "c").select("id").distinct()
-        return stage.table(sets_of(docs, ids, needed), name)
+        sets = stage.table(sets_of(docs, ids, needed), f"{name}-sets")
+        later = stage.table(_later(pairs, sets, firsts), f"{name}-later")
+        stage.drop(f"{name}-sets")
+        stage.free()
+        return later
 
-    matched = stage.table(_later(star, fetch(star, "star-sets"), firsts), "matched")
-    stage.drop("star-sets")
+    star = others.select(F.struct("c", "np", *WIDE).alias("x"), F.col("head").alias("y")).filter(_could_match("x", "y"))
+    matched = matches(paired(star, "x", "y"), "star")
 
     # a set without an earlier match so far meets the others under its tokens
-    x = others.select("token", "c", "np").alias("x")
-    y = others.select("token", "c", "np").join(matched, "c", "left_anti").alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _could_match(F.col("x.np"), F.col("y.np")))
-    rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage.table(rest.join(known, ["a", "b"], "left_anti"), "rest")
-    more = stage.table(_later(rest, fetch(rest, "rest-sets"), firsts), "more")
-    stage.drop("rest-sets", "grouped")
+    x = others.drop("head").alias("x")
+    y = others.drop("head").join(matched.select("c"), "c", "left_anti").alias("y")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _could_match("x", "y"))
+    known = stage.spark.read.schema("a long, b long").parquet(stage.at("star"))
+    more = matches(paired(rest, "x", "y").join(known, ["a", "b"], "left_anti"), "rest")
+    stage.drop("grouped", "star", "rest")
 
     similar = matched.union(more).distinct().withColumn("similar", F.lit(True))
-    marked = firsts.join(similar, "c", "left")
-    placed = lines.select("id", "version", "line", "c").join(marked, "c")
+    marked = firsts.join(similar, ["c", "b"], "left")
+    placed = lines.select("id", "version", "line", "c", "b").join(marked, ["c", "b"])
     gone = placed.filter(F.coalesce("similar", F.lit(False)) | (F.struct("id", "version", "line") != F.col("first")))
     return gone.groupBy("id", "version").agg(F.collect_set("line").alias("gone"))
 
@@ -192,28 +239,33 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines are the parts between line feeds; one without words always stays, as do null and empty texts. Equal documents of one id
     keep the same lines, since they stand at the same place; documents of one id but different texts follow the order of a hash of
-    the text; null ids come first. drop_emptied leaves out documents that had lines with words and lost them all. All columns pass.
+    the text; null ids come first. drop_emptied leaves out documents that had lines with words and lost them all. All columns pass
+    under any name, but for columns that are themselves called __n_lines or __n_gone: these give way to the counts.
     """
     spark = docs.sparkSession
     ship(spark)
     stage = Stage(spark, "line-dedup")
-    keyed = docs.select(docs[id_col].alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long").alias("version"), docs[text_col].alias("__text"))
+    version = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long")
+    keyed = docs.select(docs[id_col].alias("id"), version.alias("version"), docs[text_col].alias("__text"))
     gone = stage.table(removed_lines(keyed, stage), "gone")
-    whole = docs.withColumn("__version", F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("version").alias("__of"), F.col("gone").alias("__lines"))
-    if gone.agg(F.sum(1 + F.size("__lines"))).first()[0] in range(BROADCAST_LINES):
+    stage.drop("lines", "firsts", "star-later", "rest-later")
+    whole = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), version.alias("version"), docs[text_col].alias("text"))
+    gone = gone.select(F.col("id").alias("of_id"), F.col("version").alias("of_version"), "gone")
+    if gone.agg(F.sum(1 + F.size("gone"))).first()[0] in range(BROADCAST_LINES):
         gone = F.broadcast(gone)
-    joined = whole.join(gone, whole[id_col].eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__of")), "left")
-    numbered = F.split(F.col(text_col), "\n")
+    joined = whole.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("version") == F.col("of_version")), "left")
+    numbered = F.split("text", "\n")
 
     def left(parts: Column) -> Column:
-        stay = F.array_except(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i.cast("long")), F.col("__lines"))
+        stay = F.array_except(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i.cast("long")), F.col("gone"))
         return F.array_join(F.transform(stay, lambda i: F.get(parts, i.cast("int"))), "\n")
 
     worded = F.size(F.filter(numbered, lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
-    out = joined.withColumn("__n_lines", F.coalesce(worded, F.lit(0).cast("long")))
-    out = out.withColumn("__n_gone", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
+    zero = F.lit(0).cast("long")
+    out = joined.withColumn("n_lines", F.coalesce(worded, zero)).withColumn("n_gone", F.coalesce(F.size("gone").cast("long"), zero))
     if drop_emptied:
-        out = out.filter("__n_lines = 0 OR __n_gone < __n_lines")
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(let(numbered, left))
-    return out.withColumn(text_col, text).select(*docs.columns, "__n_lines", "__n_gone")
+        out = out.filter("n_lines = 0 OR n_gone < n_lines")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(numbered, left))
+    others = [c for c in docs.columns if c not in ("__n_lines", "__n_gone")]
+    passed = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in others]
+    return out.select(*passed, F.col("n_lines").alias("__n_lines"), F.col("n_gone").alias("__n_gone"))
