@@ -1,15 +1,19 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries (operator 9).
 
-Each worker has its own in-memory DuckDB and queries it for its partitions, one after the other. The distinct pre-tokens it has not seen yet become rows (word, position, id); a
-recursive query joins neighbouring rows to the merge table, contracts the leftmost pair of minimum rank of every word, and ends
-when no word has a pair left. Documents are the concatenation of their words' ids. Decoding joins the ids to the vocabulary and
+Each worker has its own in-memory DuckDB and queries it for its partitions, one after the other. The distinct pre-tokens it has not
+seen yet become rows (word, position, id). A recursive query joins neighbouring rows to the merge table, contracts the leftmost pair
+of minimum rank of every word, and ends when no word has a pair left.
+
+Words that take more than STEPS steps go on in a query of the same kind that does more in a step. Up to a rank, a word falls into
+blocks at the places that no token of this or a lower rank lies across; blocks can't meet and are contracted side by side as words are,
+then the limit rises. And where a new token is in no merge of a lower rank, the block's other pairs of that rank come next anyway, from
+left to right, and are contracted as well. Documents are the concatenation of their words' ids. Decoding joins the ids to the vocabulary and
 concatenates the byte strings by an ordered aggregation.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import tempfile
 from functools import lru_cache
 
@@ -19,31 +23,53 @@ from pyspark.sql import DataFrame
 
 from pactlens.llm._common import by_bytes, field_ddl, pieces, ship, strings, whole
 
-#: Distinct pieces of text and pre-tokens whose ids a worker remembers before it begins anew.
-CACHE_PIECES, CACHE_WORDS = 80_000, 200_000
+#: Distinct pieces of text and pre-tokens whose ids a worker remembers; as many again from before are looked up as well.
+CACHE_PIECES, CACHE_WORDS = 100_000, 80_000
 #: Pieces that go through one recursive query.
 QUERY_PIECES = 20_000
 #: Text bytes encoded and decoded at once.
 BATCH = 1 << 20
-#: Longer pre-tokens (runs of letters without a space) are merged with a heap: the recursive query contracts one pair of a word
-#: in a step, which takes time with the square of the word's length.
-LONG_BYTES = 256
-
-#: Rows keep their order (w, p) in every step: one thread, order-preserving plan. So lead() and lag() need no sort. merge() checks
-#: the order of what comes out.
-ENCODE = """
-WITH RECURSIVE step(t, w, p, id) AS (
-    SELECT 0, w, p, id FROM symbols
+#: Where the limits of the blocks lie among the ranks at a word's inner places, and a rank above all.
+LEVELS, NONE = (0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999), 1 << 31
+#: Steps of one recursive query, which holds the rows of all its steps; unfinished words go on in the next one.
+STEPS = 40
+
+#: k numbers the symbols in order: the word's number, then the first byte's place. A word without a pair has no row in the next step,
+#: so its rows of the greatest t are its result.
+FINAL = "SELECT k, id, z.t AS t FROM step JOIN (SELECT k >> 32 AS w, max(t) AS t FROM step GROUP BY 1) z ON step.t = z.t AND k >> 32 = z.w ORDER BY k"
+ENCODE = f"""
+WITH RECURSIVE step(t, k, id) AS (
+    SELECT 0, k, id FROM symbols
   UNION ALL
-    (WITH pairs AS MATERIALIZED (SELECT t, w, p, id, lead(id) OVER () AS next_id, lead(w) OVER () AS next_w, lag(p) OVER () AS prev_p, lag(w) OVER () AS prev_w FROM step),
-          best AS (SELECT w, min(m.rank * 4294967296 + p) AS k FROM pairs JOIN merges m ON pairs.id = m.a AND pairs.next_id = m.b WHERE w = next_w GROUP BY w)
-     SELECT t + 1, w, p, CASE WHEN p = k % 4294967296 THEN (k // 4294967296)::INTEGER ELSE id END
-     FROM pairs JOIN best USING (w) WHERE prev_w IS DISTINCT FROM w OR prev_p <> k % 4294967296)
+    (WITH pairs AS MATERIALIZED (
+              SELECT t, k, k >> 32 AS w, id, lead(id) OVER o AS next_id, lead(k) OVER o AS next_k, lag(k) OVER o AS prev_k
+              FROM step WHERE t < {STEPS} WINDOW o AS (ORDER BY k)),
+          best AS (SELECT w, min(rank << 32 | (k & 4294967295)) AS m FROM pairs JOIN merges ON id = a AND next_id = b WHERE w = next_k >> 32 GROUP BY w)
+     SELECT t + 1, k, CASE WHEN k = (w << 32 | (m & 4294967295)) THEN (m >> 32)::INTEGER ELSE id END
+     FROM pairs JOIN best USING (w) WHERE prev_k IS NULL OR prev_k <> (w << 32 | (m & 4294967295)))
 )
-SELECT t, w, p, id FROM step
+{FINAL}
+"""
+#: Pairs of a rank up to $most. hits: a word's pairs of its minimum rank; of neighbouring ones, which overlap, every second is taken from the left.
+ENCODE_MORE = f"""
+WITH RECURSIVE step(t, k, id) AS (
+    SELECT 0, k, id FROM symbols
+  UNION ALL
+    (WITH pairs AS MATERIALIZED (
+              SELECT t, k, k >> 32 AS w, id, lead(id) OVER o AS next_id, lead(k) OVER o AS next_k, lag(k) OVER o AS prev_k, row_number() OVER o AS i
+              FROM step WHERE t < {STEPS} WINDOW o AS (ORDER BY k)),
+          found AS MATERIALIZED (SELECT w, k, i, rank, alone FROM pairs JOIN merges ON id = a AND next_id = b WHERE w = next_k >> 32 AND rank <= $most),
+          best AS MATERIALIZED (SELECT w, min(rank << 32 | (k & 4294967295)) AS m FROM found GROUP BY w),
+          hits AS (SELECT k, i, i - row_number() OVER (ORDER BY k) AS run FROM found JOIN best USING (w) WHERE rank = m >> 32 AND (NOT alone OR k & 4294967295 = m & 4294967295)),
+          taken AS MATERIALIZED (SELECT k FROM (SELECT k, i - min(i) OVER (PARTITION BY run) AS nth FROM hits) WHERE nth % 2 = 0)
+     SELECT t + 1, p.k, CASE WHEN x.k IS NULL THEN id ELSE (m >> 32)::INTEGER END
+     FROM pairs p JOIN best USING (w) LEFT JOIN taken x ON x.k = p.k LEFT JOIN taken y ON y.k = prev_k
+     WHERE y.k IS NULL)
+)
+{FINAL}
 """
 
-DECODE = "SELECT d, string_agg(s, '') FROM (SELECT d, s FROM tokens JOIN vocabulary USING (id) ORDER BY p) GROUP BY d"
+DECODE = "SELECT d, string_agg(s, '' ORDER BY p) FROM tokens JOIN vocabulary USING (id) GROUP BY d"
 
 
 @lru_cache(maxsize=2)
@@ -53,35 +79,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def merge_rows(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, rank) for every pair of tokens whose concatenation is a token."""
+def merge_rows(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, rank, alone) for every pair of tokens whose concatenation is a token; alone: that token is in a merge of a lower rank."""
     ranks = read_ranks(path)
     rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     a, b, r = np.array(rows, np.int64).reshape(-1, 3).T
-    return a.astype(np.int32), b.astype(np.int32), r
-
-
-def merge_by_heap(ranks: dict[bytes, int], word: bytes) -> list[int]:
-    """The same ids for one long word in n log n steps: always the leftmost pair of minimum rank."""
-    n = len(word)
-    part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    after, before = [*range(1, n), -1], list(range(-1, n - 1))
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        r, i = heapq.heappop(heap)
-        if part[i] is None or (j := after[i]) < 0 or ranks.get(part[i] + part[j]) != r:
-            continue
-        part[i] += part[j]
-        part[j] = None
-        after[i] = k = after[j]
-        if k >= 0:
-            before[k] = i
-            if (r := ranks.get(part[i] + part[k])) is not None:
-                heapq.heappush(heap, (r, i))
-        if (k := before[i]) >= 0 and (r := ranks.get(part[k] + part[i])) is not None:
-            heapq.heappush(heap, (r, k))
-    return [ranks[p] for p in part if p is not None]
+    alone = np.isin(r, np.concatenate((a[a > r], b[b > r])))
+    return a.astype(np.int32), b.astype(np.int32), r, alone
 
 
 class Codec:
@@ -94,13 +98,16 @@ class Codec:
         self.ranks, self.words = read_ranks(path), regex.compile(pattern)
         self.spill = tempfile.TemporaryDirectory(prefix="pactlens-bpe-")
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": self.spill.name, "preserve_insertion_order": True})
-        a, b, r = merge_rows(path)
-        self._load("merges", a=a, b=b, rank=r)
+        a, b, r, alone = merge_rows(path)
+        self._load("merges", a=a, b=b, rank=r, alone=alone)
         ids = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
         self._load("vocabulary", id=ids, s=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.byte_id = np.array([self.ranks[bytes([x])] for x in range(256)], np.int32)
+        self.sizes = sorted({len(t) for t in self.ranks if len(t) > 1})
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def _load(self, name: str, **columns) -> None:
         rows = pa.table(columns)  # noqa: F841  DuckDB reads it by this name
@@ -108,51 +115,86 @@ class Codec:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            if (r := self.ranks.get(w)) is not None:
-                out[i] = r.to_bytes(4, "little")
-            elif len(w) > LONG_BYTES:
-                out[i] = np.array(merge_by_heap(self.ranks, w), "<u4").tobytes()
-            elif w:
-                rest.append(i)
-        if rest:
-            size = np.array([len(words[i]) for i in rest], np.int64)
-            flat = np.frombuffer(b"".join(words[i] for i in rest), np.uint8)
-            w = np.repeat(np.arange(len(rest), dtype=np.int32), size)
-            p = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            symbols = pa.table({"w": w, "p": p, "id": self.byte_id[flat]})  # noqa: F841
-            got = self.db.sql(ENCODE).to_arrow_table()
-            t, w, p, ids = (got.column(c).to_numpy() for c in ("t", "w", "p", "id"))
-            if np.any(np.diff((t.astype(np.int64) << 42) + (w.astype(np.int64) << 10) + p) <= 0):
-                raise RuntimeError("the recursive query returned its rows out of order")
-            final = np.zeros(len(rest), t.dtype)
-            np.maximum.at(final, w, t)
-            keep = t == final[w]
-            w, ids = w[keep], ids[keep]
-            order = np.argsort(w, kind="stable")
-            w, ids = w[order], ids[order].astype("<u4")
-            ends = np.cumsum(np.bincount(w, minlength=len(rest))) * 4
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(rest, ends.tolist()):
-                out[i] = raw[start:end]
-                start = end
+        out = [self.ranks[w].to_bytes(4, "little") if w in self.ranks else b"" for w in words]
+        rest = [i for i, w in enumerate(words) if w and not out[i]]
+        size = np.array([len(words[i]) for i in rest], np.int64)
+        flat = np.frombuffer(b"".join(words[i] for i in rest), np.uint8)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        k, ids = (np.repeat(np.arange(len(rest), dtype=np.int64), size) << 32) | place, self.byte_id[flat]
+        if len(k):
+            k, ids, t = self._query(ENCODE, k, ids)
+            open_words = np.unique(k[t == STEPS] >> 32)
+            if len(open_words):
+                at = np.isin(k >> 32, open_words)
+                more_k, more = self._merge_long(k[at], ids[at], {int(w): words[rest[w]] for w in open_words})
+                k, ids = np.concatenate((k[~at], more_k)), np.concatenate((ids[~at], more))
+            w, raw = k >> 32, ids.astype("<u4").tobytes()
+            edge = np.flatnonzero(np.diff(w, prepend=-1, append=-1)).tolist()
+            for at, to in zip(edge, edge[1:]):
+                out[rest[w[at]]] = raw[4 * at : 4 * to]
         return out
 
+    def _query(self, query: str, k: np.ndarray, ids: np.ndarray, *most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        symbols = pa.table({"k": k, "id": ids})  # noqa: F841
+        got = self.db.sql(query, params={"most": most[0]} if most else None).to_arrow_table()
+        return tuple(got.column(c).to_numpy() for c in ("k", "id", "t"))
+
+    def _across(self, word: bytes) -> np.ndarray:
+        """The least rank of the tokens that lie across the place before each byte, as far as the word has them; NONE without any."""
+        out = np.full(len(word), NONE, np.int64)
+        for size in self.sizes:
+            found = [(i, r) for i in range(len(word) - size + 1) if (r := self.ranks.get(word[i : i + size])) is not None]
+            if found:
+                start, rank = np.array(found, np.int64).T
+                for d in range(1, size):
+                    out[start + d] = np.minimum(out[start + d], rank)
+        return out
+
+    def _merge_long(self, k: np.ndarray, ids: np.ndarray, words: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of unfinished words, contracted to the end."""
+        across = {w: self._across(text) for w, text in words.items()}
+        for level in (*LEVELS, None):
+            w, p = k >> 32, k & 0xFFFFFFFF
+            border = np.empty(len(k), np.int64)
+            edge = np.flatnonzero(np.diff(w, prepend=-1, append=-1)).tolist()
+            for at, to in zip(edge, edge[1:]):
+                border[at:to] = across[int(w[at])][p[at:to]]
+                border[at] = NONE
+            crossed = border[border < NONE]
+            most = NONE - 1 if level is None or not len(crossed) else int(np.quantile(crossed, level))
+            block = np.cumsum(border > most) - 1
+            owner = w[border > most]
+            now_k, now, done = (block << 32) | p, ids, []
+            while len(now_k):
+                now_k, now, t = self._query(ENCODE_MORE, now_k, now, most)
+                done.append((now_k[t < STEPS], now[t < STEPS]))
+                now_k, now = now_k[t == STEPS], now[t == STEPS]
+            k, ids = (np.concatenate(x) for x in zip(*done))
+            order = np.argsort(k)
+            k, ids = k[order], ids[order]
+            k = (owner[k >> 32] << 32) | (k & 0xFFFFFFFF)
+        return k, ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [pieces(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*split).difference(known))
+            self.known_before, self.known = self.known, {}
+        known, before = self.known, self.known_before
+        new = []
+        for x in set().union(*split).difference(known):
+            if (ids := before.get(x)) is None:
+                new.append(x)
+            else:
+                known[x] = ids
         for at in range(0, len(new), QUERY_PIECES):
             part = new[at : at + QUERY_PIECES]
             found = [self.words.findall(whole(x)) for x in part]
             if len(self.known_words) > CACHE_WORDS:
-                self.known_words = {}
-            ids = self.known_words
-            words = list({w for own in found for w in own if w not in ids})
+                self.words_before, self.known_words = self.known_words, {}
+            ids, old = self.known_words, self.words_before
+            words = {w for own in found for w in own if w not in ids}
+            ids.update((w, old[w]) for w in words if w in old)
+            words = [w for w in words if w not in old]
             ids.update(zip(words, self.merge([w.encode() for w in words])))
             known.update((x, b"".join(map(ids.__getitem__, own))) for x, own in zip(part, found))
         return [b"".join(map(known.__getitem__, own)) for own in split]
