@@ -72,15 +72,15 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with a struct column __stats of the statistics and base_failed. Columns of any other name stay as they are."""
+    """row, a struct of all columns of df under their own names, and stats, a struct of the statistics and base_failed."""
     found = statistics(df[text_col])
-    inner = df.withColumn("__raw", F.struct(*[v.alias(k) for k, v in found.items()]))
-    raw = F.col("__raw")
+    inner = df.select(F.struct("*").alias("row"), F.struct(*[v.alias(k) for k, v in found.items()]).alias("raw"))
+    raw = F.col("raw")
     n, repeated = raw["__words"]["n"], raw["__words"]["r"]
     fields = [n.alias("n_words"), raw["word_chars"].alias("word_chars"), raw["n_symbols"].alias("n_symbols"), raw["__lines"]["n"].alias("n_lines")]
     fields += [raw["__lines"]["d"].alias("n_dup_lines"), repeated.alias("n_repeat_words")] + [raw[c].alias(c) for c in ("n_upper", "n_shouts")]
     fields.append(((n < 10) | (100 * repeated > 20 * n)).alias("base_failed"))
-    return inner.withColumn("__stats", F.struct(*fields)).drop("__raw")
+    return inner.select("row", F.struct(*fields).alias("stats"))
 
 
 def measures(s: Column) -> dict[str, Column]:
@@ -130,12 +130,17 @@ class RuleList:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """Measures, bad and grow of those of at most `rows` labelled documents that pass the base rule. An id labelled more than once counts as its smallest label."""
-    ids = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL")
-    ids = ids.groupBy("__id").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows)
-    picked = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).join(F.broadcast(ids), "__id")  # at most `rows` ids
-    stats = with_statistics(picked, "__text").filter(~F.col("__stats.base_failed"))
-    return stats.select(*[v.alias(k) for k, v in measures(F.col("__stats")).items()], (F.col("__y") == 0).alias("bad"), (F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(3)) > 0).alias("grow"))
+    """Measures, bad and grow of those of at most `rows` labelled documents that pass the base rule.
+
+    An id labelled more than once counts as its smallest label; of several documents of one id the one of the smallest measures is taken.
+    """
+    ids = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+    ids = ids.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows)
+    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id")  # at most `rows` ids
+    stats = with_statistics(picked, "text").filter(~F.col("stats.base_failed"))
+    values = F.struct(*[v.alias(k) for k, v in measures(F.col("stats")).items()])
+    one = stats.select("row.id", "row.y", values.alias("m")).groupBy("id", "y").agg(F.min("m").alias("m"))
+    return one.select("m.*", (F.col("y") == 0).alias("bad"), (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) > 0).alias("grow"))
 
 
 def simplified(conditions: list[Condition]) -> tuple[Condition, ...]:
@@ -146,7 +151,9 @@ def simplified(conditions: list[Condition]) -> tuple[Condition, ...]:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> RuleList:
     """Learn a list from labels (1 good, 0 bad) of a bounded sample. Without labels of both kinds the list is empty and keeps all."""
     stage = Stage(docs.sparkSession, "quality-rules")
-    sample = stage.table(labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows).coalesce(1), "sample")
+    found = stage.table(labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows), "found")
+    sample = stage.table(found.coalesce(1), "sample")  # `rows` rows at most, so that each of many small steps is one task
+    stage.drop("found")
     names = [c for c in sample.columns if c not in ("bad", "grow")]
     levels = [i / QUANTILES for i in range(QUANTILES + 1)]
     cuts = sample.agg(*[F.percentile_approx(c, levels, 2000).alias(c) for c in names], *[F.percentile_approx(F.when(F.col("bad"), F.col(c)), levels, 2000).alias(f"bad {c}") for c in names]).first()
@@ -220,12 +227,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     labelled; repeated rows and ids are scored each. Other columns are not read.
     """
     rules = fit(docs, labels, id_col=id_col, text_col=text_col)
-    picked = with_statistics(docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")), "__text")
-    return picked.select(F.col("__id").alias(id_col), "__stats.*", (~F.col("__stats.base_failed") & rules.keeps(F.col("__stats"))).alias("kept"))
+    picked = with_statistics(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text")
+    return picked.select(F.col("row.id").alias(id_col), "stats.*", (~F.col("stats.base_failed") & rules.keeps(F.col("stats"))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with their columns, that pass the base rule and that no learned rule covers."""
+    """The documents, with all their columns under any name, that pass the base rule and that no learned rule covers.
+
+    Null, empty and short texts fail the base rule; repeated rows are judged alike; an empty table stays empty.
+    """
     rules = fit(docs, labels, id_col=id_col, text_col=text_col)
     scored = with_statistics(docs, text_col)
-    return scored.filter(~F.col("__stats.base_failed") & rules.keeps(F.col("__stats"))).select(*docs.columns)
+    return scored.filter(~F.col("stats.base_failed") & rules.keeps(F.col("stats"))).select("row.*")
