@@ -18,8 +18,12 @@ from pactlens.llm._common import by_bytes, field_ddl, ship, strings
 
 #: Decimal logarithm of the guesses from which a value counts as a secret.
 MIN_GUESSES = 10.0
-#: Shorter values are too easily words; of longer ones every part of this length is costed by itself and the costs add up.
-MIN_VALUE, PART = 8, 64
+#: Shorter values are too easily words.
+MIN_VALUE = 8
+#: Longest unit of a repeat, and the least length of a keyboard walk.
+MAX_UNIT, MIN_WALK = 64, 4
+#: What each part after the first costs for its place in the split.
+NEXT_PART = 0.3
 BASE = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
@@ -39,18 +43,25 @@ LEET = str.maketrans("4@301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d|(?:19|20)\d\d)")
 
 
+class Ranks(dict):
+    """Ranks of words, and the length of the longest."""
+
+    longest = 0
+
+
 @lru_cache(maxsize=1)
-def word_ranks(vocabulary: str) -> dict[str, int]:
+def word_ranks(vocabulary: str) -> Ranks:
     """Rank, from 1, of the letter words of three or more characters in a vocabulary file whose ids follow frequency."""
     import json
 
     with open(vocabulary, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    out: dict[str, int] = {}
+    out = Ranks()
     for token, _ in sorted(vocab.items(), key=lambda x: x[1]):
         word = token.lstrip("Ġ").lower()
         if len(word) > 2 and word.isascii() and word.isalpha():
             out.setdefault(word, len(out) + 1)
+    out.longest = max(map(len, out), default=0)
     return out
 
 
@@ -66,43 +77,130 @@ def neighbours() -> frozenset[str]:
     return frozenset(out | {p[::-1] for p in out})
 
 
+#: Character classes, with how many characters each has.
+CLASSES = (10, 26, 26, 33)
+#: Of each set of classes (its bits) the logarithm of the alphabet's size.
+ALPHABET = [math.log10(max(1, sum(n for i, n in enumerate(CLASSES) if s >> i & 1))) for s in range(1 << len(CLASSES))]
+
+
+def class_of(c: str) -> int:
+    return 1 if c.isdigit() else 2 if c.islower() else 4 if c.isupper() else 8
+
+
 def brute(text: str) -> float:
     """log10 of the guesses for a run of characters of the classes that it has."""
-    size = 10 * any(c.isdigit() for c in text) + 26 * any(c.islower() for c in text) + 26 * any(c.isupper() for c in text) + 33 * any(not c.isalnum() for c in text)
-    return len(text) * math.log10(size or 1)
+    kinds = 0
+    for c in text:
+        kinds |= class_of(c)
+    return len(text) * ALPHABET[kinds]
+
+
+def word_cost(own: str, low: str, plain: str, ranks: dict[str, int]) -> float:
+    """Of a word of the list, also in other cases or with signs for letters; infinite for others."""
+    r = ranks.get(low) or ranks.get(plain)
+    if r is None:
+        return math.inf
+    return math.log10(r + 1) + math.log10(2) * (own != low and own.upper() != own) + 0.3 * (own != low) + 0.3 * (plain != low)
 
 
-def guesses(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest split takes; each further part costs a little for its place in the split."""
-    if len(value) > PART:
-        return sum(guesses(value[i : i + PART], ranks) for i in range(0, len(value), PART))
+def repeat_cost(unit: str, times: int) -> float:
+    return brute(unit) + math.log10(times)
+
+
+def walk_cost(size: int) -> float:
+    return math.log10(94 * 2) + 0.4 * size
+
+
+DATE_COST = math.log10(365 * 120)
+
+
+def guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest split takes, or `limit` if it takes more.
+
+    best[j] is the cost of the first j characters. A last part that ends at j is a word, a date, a repeat of a unit, a keyboard walk or
+    a brute-force run over the classes that it has. Words, dates and units are bounded in length. For walks, and for runs over each set
+    of classes, only the cheapest beginning is remembered, since all grow by the same amount. For repeats of a unit, beginnings that
+    can't become the cheapest any more are dropped. So time grows with the length of the value alone, as far as best stays below the limit.
+    """
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
-    dates = {(m.start(), m.end()) for i in range(n) if (m := DATE.match(value, i))}
     near = neighbours()
-    per_char = brute(value) / n if n else 0.0
+    longest = ranks.longest if isinstance(ranks, Ranks) else max(map(len, ranks), default=0)
+    dates: dict[int, list[int]] = {}
+    for i in range(n):
+        if m := DATE.match(value, i):
+            dates.setdefault(m.end(), []).append(i)
     best = [0.0] + [math.inf] * n
-    for end in range(1, n + 1):
-        for start in range(end):
-            size = end - start
-            cost = per_char * size  # a brute-force run over the value's own alphabet
-            part = low[start:end]
-            if size > 2:
-                if (r := ranks.get(part)) is not None or (r := ranks.get(plain[start:end])) is not None:
-                    own = value[start:end]
-                    variants = math.log10(2) * (own != part and own.upper() != own) + 0.3 * (own != part) + 0.3 * (plain[start:end] != part)
-                    cost = min(cost, math.log10(r + 1) + variants)
-                for unit in (1, 2, 3, 4):
-                    if size >= 2 * unit and size % unit == 0 and part == part[:unit] * (size // unit):
-                        cost = min(cost, per_char * unit + math.log10(size // unit))
-                        break
-                if size > 3 and all(part[i : i + 2] in near for i in range(size - 1)):
-                    cost = min(cost, math.log10(94 * 2) + 0.4 * size)
-            if (start, end) in dates:
-                cost = min(cost, math.log10(365 * 120))
-            best[end] = min(best[end], best[start] + cost + (0.3 if start else 0.0))
-    return best[n]
+    runs = [math.inf] * len(ALPHABET)  # cheapest beginning of a run over each set of classes, less what its length costs
+    walk = math.inf  # the same for a walk
+    steps = 0  # neighbouring pairs up to here
+    last = [[-1] * len(CLASSES)]  # for each place where each class stood last before it
+    same = [0] * (MAX_UNIT + 1)  # how many characters up to here equal the one a unit before
+    begun: dict[tuple[int, int], list[tuple[int, float]]] = {}  # (unit's length, place modulo it): beginnings and their costs
+    alive = 0
+    reach = max(longest, 2 * MAX_UNIT, 10) + 1
+    for j in range(1, n + 1):
+        i = j - 1
+        start = best[i] + (NEXT_PART if i else 0.0)
+        kind = class_of(value[i])
+        last.append([i if kind >> c & 1 else x for c, x in enumerate(last[-1])])
+        least = math.inf
+        for s in range(1, len(ALPHABET)):
+            if s & kind:
+                runs[s] = min(runs[s], start - i * ALPHABET[s])
+                least = min(least, runs[s] + j * ALPHABET[s])
+            else:
+                runs[s] = math.inf
+        steps = steps + 1 if i and low[i - 1 : j] in near else 0
+        if steps == 0:
+            walk = math.inf
+        if steps >= MIN_WALK - 1:
+            at = j - MIN_WALK
+            walk = min(walk, best[at] + (NEXT_PART if at else 0.0) + walk_cost(0) - 0.4 * at)
+            least = min(least, walk + 0.4 * j)
+        for size in range(3, min(longest, j) + 1):
+            at = j - size
+            if (before := best[at]) < least:
+                least = min(least, before + (NEXT_PART if at else 0.0) + word_cost(value[at:j], low[at:j], plain[at:j], ranks))
+        for at in dates.get(j, ()):
+            least = min(least, best[at] + (NEXT_PART if at else 0.0) + DATE_COST)
+        for u in range(1, min(MAX_UNIT, i) + 1):
+            if low[i] != low[i - u]:
+                same[u] = 0
+                continue
+            same[u] += 1
+            if same[u] >= u:
+                unit = u * ALPHABET[sum(1 << c for c, x in enumerate(last[j - u]) if x >= j - 2 * u)]  # brute() of the unit before the last
+                least = min(least, _repeated(best, j, u, same[u], unit, limit, begun))
+        best[j] = least if least < limit else math.inf
+        if best[j] < math.inf:
+            alive = j
+        elif j - alive > reach:
+            break
+    return min(best[n], limit)
+
+
+def _repeated(best: list[float], j: int, u: int, same: int, unit: float, limit: float, begun: dict[tuple[int, int], list[tuple[int, float]]]) -> float:
+    """The least cost of a split whose last part repeats a unit of u characters, itself of cost `unit`, up to j. same: u more than that many repeat.
+
+    A beginning is dropped once a later one costs no more, or once an earlier one is at least as good here: the difference that the
+    number of times makes only shrinks.
+    """
+    first = j - u - same  # the earliest place from which all repeats
+    begins = [b for b in begun.get((u, j % u), ()) if b[0] >= first]
+    at = j - 2 * u
+    cost = best[at] + (NEXT_PART if at else 0.0) + unit
+    if cost < limit:
+        begins = [b for b in begins if b[1] < cost] + [(at, cost)]
+    kept, least = [], math.inf
+    for b in begins:  # from the earliest
+        total = b[1] + math.log10((j - b[0]) // u)
+        if total < least:
+            kept.append(b)
+            least = total
+    begun[u, j % u] = kept
+    return least
 
 
 def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
@@ -118,7 +216,7 @@ def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip("\"'.,;:)!?")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= MIN_VALUE and not any(s < end and start < e for s, e in base) and guesses(value, ranks) >= MIN_GUESSES:
+        if len(value) >= MIN_VALUE and not any(s < end and start < e for s, e in base) and guesses(value, ranks, MIN_GUESSES) >= MIN_GUESSES:
             out.append((start, end, "guess"))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (x[0], order[x[2]], x[1]))
