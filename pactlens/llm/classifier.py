@@ -151,13 +151,14 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int = FIT_ROWS) -> tuple[np.ndarray, Network | float]:
     """(word vectors, network) from labelled rows that are not held out; with labels of one kind, or none, a constant score.
 
-    An id labelled more than once counts as its smallest label; repeated documents of a labelled id are all used.
+    An id labelled more than once counts as its smallest label; of several documents of one id the text of the smallest hash is used.
     """
     stage = Stage(docs.sparkSession, "classifier")
     ids = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     ids = ids.filter(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id")  # at most `rows` ids
-    sample = stage.table(picked.select("id", "y", "text"), "sample").coalesce(FIT_TASKS)
+    one = picked.withColumn("order", F.xxhash64("text")).groupBy("id", "y").agg(F.min_by("text", F.struct("order", "text")).alias("text"))
+    sample = stage.table(one.select("id", "y", "text"), "sample").coalesce(FIT_TASKS)
     index = index_vectors()
 
     def sums(batches):

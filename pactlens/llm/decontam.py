@@ -129,9 +129,10 @@ def decontaminate(
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents, with their columns, in which no window of an item occurs."""
+    """The documents, with their columns under any name, in which no window of an item occurs. Null and empty texts stay."""
     stage = Stage(docs.sparkSession, "decontam")
     _, found = occurrences(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, stage=stage)
-    hit = stage.table(found.select(F.col("k1").alias("__id"), F.col("k2").alias("__of")), "hit")
-    hit = _small(hit, hit.count())
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__of")), "left_anti")
+    hit = stage.table(found.select(F.col("k1").alias("id"), F.col("k2").alias("version")), "hit")
+    stage.drop("windows", "parts", "wanted", "hits", "prefix")
+    d, g = docs.alias("d"), _small(hit, hit.count()).alias("g")
+    return d.join(g, F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("g.version")), "left_anti")
