@@ -130,8 +130,29 @@ def quotes_intersect(a: Column, b: Column, strict: bool = False) -> Column:
 
 
 def json_object(raw: Column) -> Column:
-    """From the first brace to the last: the object inside prose or a fence, if there is one."""
-    return F.nullif(F.regexp_extract(text_of(raw), r"(?s)(\{.*\})", 1), F.lit(""))
+    """The first brace that a later one closes, up to there; braces within the object's strings don't count. Null if there is none."""
+    text = text_of(raw)
+    nothing = F.lit(None).cast("string")
+
+    def closed(part: Column) -> Column:
+        """The part, which begins with a brace, up to the one that closes it; else null."""
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("string"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+        def step(a: Column, c: Column) -> Column:
+            outside = ~a["string"]
+            depth = a["depth"] + F.when(outside & (c == "{"), 1).when(outside & (c == "}"), -1).otherwise(0)
+            string = F.when((c == '"') & ~a["escaped"], outside).otherwise(a["string"])
+            end = F.when((a["end"] == 0) & (depth == 0), a["n"] + 1).otherwise(a["end"])
+            return F.struct(depth.alias("depth"), string.alias("string"), (a["string"] & (c == "\\") & ~a["escaped"]).alias("escaped"), (a["n"] + 1).alias("n"), end.alias("end"))
+
+        end = F.aggregate(F.split(part, ""), begin, step)["end"]
+        return F.element_at(F.transform(F.array(end), lambda e: F.when(e > 0, F.substring(part, F.lit(1), e))), 1)
+
+    first = closed(F.substring(text, F.locate("{", text), F.length(text)))
+    # only if the first is never closed are the later ones tried
+    braces = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c == "{", i + 1)), lambda i: i.isNotNull())
+    later = F.get(F.array_compact(F.transform(F.slice(braces, 2, F.greatest(F.size(braces), F.lit(1))), lambda i: closed(F.substring(text, i, F.length(text))))), F.lit(0))
+    return F.when(F.locate("{", text) == 0, nothing).otherwise(F.coalesce(first, later))
 
 
 MODEL_SCHEMA = (

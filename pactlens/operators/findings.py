@@ -38,8 +38,7 @@ def cue_table(spark: SparkSession, cues: tuple[Cue, ...] = CUES) -> DataFrame:
 
 
 def sentences(text: Column) -> Column:
-    marked = F.regexp_replace(text_of(text), rf"([.!?]){BLANK}+", "$1\x1d")
-    return F.array_remove(F.split(marked, "\x1d"), "")
+    return F.array_remove(F.split(text_of(text), rf"(?<=[.!?]){BLANK}+"), "")
 
 
 def route(chunks: DataFrame, cues: tuple[Cue, ...] = CUES) -> DataFrame:
@@ -174,7 +173,7 @@ def _related(a: str, b: str, strict: bool) -> bool:
 
 
 def merge_group(items: list[dict]) -> list[dict]:
-    """The findings of one document and category, in order of seq, after merging."""
+    """The findings of one document and category, in order of seq, after merging. Those without a paragraph stay as they are, at the end."""
     core = lambda f: (f["what"].strip(), f["explanation"].strip(), f["severity"], bool(f["is_unfair"]), tuple(sorted(str(r).strip() for r in f["refs"])))
 
     def stars(pool: list[dict], joins) -> list[list[dict]]:
@@ -187,6 +186,7 @@ def merge_group(items: list[dict]) -> list[dict]:
                 home.append(f)
         return out
 
+    unplaced, items = [f for f in items if f["idx"] is None], [f for f in items if f["idx"] is not None]
     here = stars(items, lambda a, b: a["idx"] == b["idx"] and (_related(a["key"], b["key"], False) or core(a) == core(b)))
     kept = [max(s, key=lambda f: (len(f["quote"]), len(f["explanation"]))) for s in here]
     kept.sort(key=lambda f: f["idx"])
@@ -212,17 +212,25 @@ def merge_group(items: list[dict]) -> list[dict]:
             merged["severity"] = max((f["severity"] for f in s), key=lambda x: order.get(x, 0))
             merged["is_unfair"] = any(f["is_unfair"] for f in s)
         out.append(merged)
-    return out
+    return out + [dict(f) for f in unplaced]
 
 
-def summarize(findings: DataFrame) -> DataFrame:
-    """doc_id, risk_score (20, 10 and 5 for each high, medium and low, 100 at most), the counts, and the ten commonest categories."""
+def summarize(findings: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, risk_score (20, 10 and 5 for each high, medium and low, 100 at most), the counts, and the ten commonest categories.
+
+    A row for each doc_id of documents; one without findings has a score of 0, no counts and no categories.
+    """
     count = lambda s: F.count_if(F.col("severity") == s)
     totals = findings.groupBy("doc_id").agg(count("high").alias("high"), count("medium").alias("medium"), count("low").alias("low"))
     totals = totals.withColumn("risk_score", F.least(F.lit(100), 20 * F.col("high") + 10 * F.col("medium") + 5 * F.col("low")))
-    return totals.join(top_categories(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "category_id", "n"))).alias("t")), "doc_id").select(
+    top = top_categories(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "category_id", "n"))).alias("t"))
+    found = totals.join(top, "doc_id").select(
         "doc_id", "risk_score", "high", "medium", "low", F.transform("t", lambda x: F.struct(x["category_id"].alias("category_id"), x["n"].alias("count"))).alias("top_categories")
     )
+    every = documents.select("doc_id").join(found, "doc_id", "left")
+    kind = found.schema["top_categories"].dataType
+    counts = [F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)).alias(c) for c in ("risk_score", "high", "medium", "low")]
+    return every.select("doc_id", *counts, F.coalesce("top_categories", F.array().cast(kind)).alias("top_categories"))
 
 
 def top_categories(findings: DataFrame, k: int = 10) -> DataFrame:
@@ -236,7 +244,8 @@ def highlight_ranges(paragraphs: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id, idx, quote_id, start, end (from 0, half open) of every occurrence of each quote in its paragraph, without overlap."""
     pair = paragraphs.select("doc_id", "idx", "text").join(quotes.filter("quote <> ''"), ["doc_id", "idx"])
     size = F.length("quote")
-    parts = F.split(F.replace(F.col("text"), F.col("quote"), F.lit("\x1d")), "\x1d")
+    literal = F.concat(F.lit(r"\Q"), F.replace(F.col("quote"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    parts = F.split(F.col("text"), literal, F.lit(-1))
     starts = pair.select("doc_id", "idx", "quote_id", size.alias("size"), F.posexplode(parts).alias("k", "part"))
     gone = F.sum(F.length("part")).over(Window.partitionBy("doc_id", "idx", "quote_id").orderBy("k"))
     after = F.lead("k").over(Window.partitionBy("doc_id", "idx", "quote_id").orderBy("k"))

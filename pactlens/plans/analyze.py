@@ -40,4 +40,4 @@ def analyze(docs: DataFrame, cues: tuple[fo.Cue, ...] = fo.CUES) -> Analysis:
         F.concat(F.lit("cue "), F.col("category_id")).alias("explanation"), F.concat(F.lit("- "), F.col("category_id")).alias("what"), fn.valid_references(refs).alias("refs"),
     )
     findings = fo.merge_findings(graded)
-    return Analysis(parted, windows.plan_windows(bodies), findings, fo.summarize(findings))
+    return Analysis(parted, windows.plan_windows(bodies), findings, fo.summarize(findings, docs))

@@ -244,9 +244,9 @@ def findings_order(spark, sf_dir):
 _SCORES = f"""WITH {d.FOUND}, g AS (SELECT *, {d.SEVERITY} AS sev, row_number() OVER (PARTITION BY doc_id ORDER BY idx, n, category_id) AS seq FROM found)"""
 
 
-@query(f"{_SCORES} SELECT doc_id, least(100, 20 * count_if(sev = 'high') + 10 * count_if(sev = 'medium'))::BIGINT AS risk_score, count_if(sev = 'high')::BIGINT AS high, count_if(sev = 'medium')::BIGINT AS medium, 0::BIGINT AS low FROM g GROUP BY doc_id")
+@query(f"{_SCORES} SELECT doc_id, least(100, 20 * count(*) FILTER (sev = 'high') + 10 * count(*) FILTER (sev = 'medium'))::BIGINT AS risk_score, count(*) FILTER (sev = 'high') AS high, count(*) FILTER (sev = 'medium') AS medium, 0::BIGINT AS low FROM contracts LEFT JOIN g USING (doc_id) GROUP BY doc_id")
 def risk_summary(spark, sf_dir):
-    return fo.summarize(graded(spark, sf_dir)).drop("top_categories").withColumn("risk_score", F.col("risk_score").cast("long"))
+    return fo.summarize(graded(spark, sf_dir), contracts(spark, sf_dir)).drop("top_categories").withColumn("risk_score", F.col("risk_score").cast("long"))
 
 
 @query(f"{_SCORES} SELECT doc_id, category_id, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(seq)) AS rank FROM g GROUP BY doc_id, category_id QUALIFY rank <= 10")
@@ -256,7 +256,7 @@ def top_categories(spark, sf_dir):
 
 @query()
 def summary_full(spark, sf_dir):
-    return fo.summarize(fo.merge_findings(graded(spark, sf_dir)).select("doc_id", "seq", "category_id", "severity"))
+    return fo.summarize(fo.merge_findings(graded(spark, sf_dir)).select("doc_id", "seq", "category_id", "severity"), contracts(spark, sf_dir))
 
 
 @query()
@@ -264,7 +264,7 @@ def dedupe_full(spark, sf_dir):
     return fo.merge_findings(graded(spark, sf_dir))
 
 
-@query(f"{_SCORES}, k AS (SELECT *, {d.dedupe_key('category_id', 'quote', chr(39) + '- ' + chr(39) + ' || category_id')} AS dedupe_key FROM g) SELECT doc_id, seq::INTEGER AS seq, dedupe_key FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, dedupe_key ORDER BY seq) = 1")
+@query(f"{_SCORES}, k AS (SELECT *, {d.dedupe_key('category_id', 'quote', "'- ' || category_id")} AS dedupe_key FROM g) SELECT doc_id, seq::INTEGER AS seq, dedupe_key FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, dedupe_key ORDER BY seq) = 1")
 def dedupe_exact(spark, sf_dir):
     return fo.dedupe_exact(graded(spark, sf_dir)).select("doc_id", "seq", "dedupe_key")
 
@@ -370,7 +370,7 @@ def category_resolve(spark, sf_dir):
     return fo.resolve_categories(rows, tax).select("s_suppkey", "category", "category_id")
 
 
-@query("WITH " + d.FOUND + f", routed AS (SELECT DISTINCT doc_id, idx, category_id FROM raw_lines JOIN cues ON {' OR '.join(f'(category_id = {d.lit(c.category_id)} AND {d.has(chr(116) + chr(101) + chr(120) + chr(116), c.pattern)})' for c in fo.CUES)}) SELECT doc_id, idx, category_id FROM routed WHERE category_id IN ('audit_rights', 'uncapped_liability')")
+@query("WITH " + d.FOUND + f", routed AS (SELECT DISTINCT doc_id, idx, category_id FROM raw_lines JOIN cues ON {' OR '.join(f'(category_id = {d.lit(c.category_id)} AND {d.has("text", c.pattern)})' for c in fo.CUES)}) SELECT doc_id, idx, category_id FROM routed WHERE category_id IN ('audit_rights', 'uncapped_liability')")
 def router_semi_join(spark, sf_dir):
     allowed = spark.createDataFrame([("audit_rights",), ("uncapped_liability",)], "category_id string")
     routed = fo.route(contract_lines(spark, sf_dir)).select("doc_id", "idx", F.explode("routed").alias("category_id"))

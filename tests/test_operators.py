@@ -109,7 +109,9 @@ def test_merging(spark):
 
 def test_summary(spark):
     rows = [finding(i, i, f"q{i}", category=c, severity=s) for i, (c, s) in enumerate([("a", "high")] * 4 + [("b", "medium")] * 2 + [("c", "low")] * 2)]
-    r = fo.summarize(spark.createDataFrame(rows, FINDING)).first()
+    got = {r.doc_id: r for r in fo.summarize(spark.createDataFrame(rows, FINDING), spark.createDataFrame([(1,), (2,)], "doc_id int")).collect()}
+    none, r = got[2], got[1]
+    assert (none.risk_score, none.high, none.medium, none.low, none.top_categories) == (0, 0, 0, 0, [])
     assert (r.risk_score, r.high, r.medium, r.low) == (100, 4, 2, 2) and [tuple(x) for x in r.top_categories] == [("a", 4), ("b", 2), ("c", 2)]
 
 
@@ -142,7 +144,7 @@ def test_taxonomy(spark, tmp_path):
 def test_analysis(spark):
     text = "1. FEES\nThe landlord may charge any fee it likes to the tenant.\n\n2. END\nThe landlord may terminate this lease at any time as it sees fit.\n\nBy: /s/ X"
     out = analyze(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string"))
-    assert [(r.doc_id, r.high, r.risk_score) for r in out.summary.collect()] == [(1, 2, 40)]
+    assert sorted((r.doc_id, r.high, r.risk_score) for r in out.summary.collect()) == [(1, 2, 40), (2, 0, 0), (3, 0, 0)]
     assert {r.category_id for r in out.findings.collect()} == {"rent_fees_prohibited_payments", "termination_for_convenience"}
 
 
@@ -158,3 +160,39 @@ def test_query_equals_sql(spark, name):
     columns = [c[0] for c in want.description]
     got = catalog.QUERIES[name](spark, SF).select(*columns)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_marks_in_texts(spark):
+    """A control character, or what a pattern would read as a command, is text like any other."""
+    lines = spark.createDataFrame([(1, 0, "ab\x1dcd ab"), (1, 1, "a.b a\\Eb aab"), (1, 2, "none")], "doc_id int, idx int, text string")
+    quotes = spark.createDataFrame([(1, 0, "x", "ab"), (1, 1, "y", "a.b"), (1, 1, "z", "a\\Eb"), (1, 2, "w", "")], "doc_id int, idx int, quote_id string, quote string")
+    got = sorted((r.quote_id, r.start, r.end) for r in fo.highlight_ranges(lines, quotes).collect())
+    assert got == [("x", 0, 2), ("x", 6, 8), ("y", 0, 3), ("z", 4, 8)]
+    said = spark.createDataFrame([("One.  Two\x1dhalf! Three",)], "t string").select(fo.sentences(F.col("t"))).first()[0]
+    assert said == ["One.", "Two\x1dhalf!", "Three"]
+
+
+def test_merging_without_a_paragraph(spark):
+    rows = [finding(1, None, "the landlord may enter at any time"), finding(2, 0, "landlord may enter at any time for repairs"), finding(3, None, "landlord may enter at any time without notice"), finding(4, 0, "landlord may enter at any time for repairs and more")]
+    got = fo.merge_findings(spark.createDataFrame(rows, FINDING)).collect()
+    assert sorted(r.seq for r in got if r.idx is None) == [1, 3] and len(got) == 3
+
+
+def test_objects_in_prose(spark):
+    from pactlens.functions.findings import json_object
+
+    cases = [
+        ("a { then {\"x\": 1} end", '{"x": 1}'), ('see {note} {"x": 1}', "{note}"), ('```{"a": {"b": "}"}}``` }', '{"a": {"b": "}"}}'), ('{"a": "\\"}"} {', '{"a": "\\"}"}'),
+        ("no braces", None), ("{ never { closed", None), (None, None), ("", None),
+    ]
+    rows = spark.createDataFrame(cases, "raw string, want string").select("want", json_object(F.col("raw")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows), rows
+
+
+def test_examples_of_any_length(spark):
+    from pactlens.operators.fewshot import pick_examples
+
+    docs = spark.createDataFrame([(1, "the old house stands by the lake"), (2, "an old house stood"), (3, None), (4, "lake"), (5, "the old house stands by the lake, again")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "e old house st"), (2, "lake"), (3, "old house"), (4, ""), (5, None), (6, "no such words here"), (7, "old house stands")], "item_id int, text string")
+    got = sorted((r.item_id, r.doc_id, r.k) for r in pick_examples(items, docs).collect())
+    assert got == [(1, 1, 1), (1, 5, 2), (2, 1, 1), (2, 4, 2), (3, 1, 1), (3, 2, 2), (7, 1, 1), (7, 5, 2)]
