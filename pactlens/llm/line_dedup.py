@@ -191,13 +191,13 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     firsts = stage.table(lines.groupBy("c", "b").agg(F.min(F.struct("id", "version", "line")).alias("first")), "firsts")
     info = lines.filter(F.size("tokens") > 0).select("c", *WIDE).dropDuplicates(["c"])
 
-    # one row for a token and a set, however many batches sent it; tokens that one set alone has leave at once; then the wide bitmaps
+    # tokens that one set alone has leave at once, then the rows that several batches sent of one set are made one; then the wide bitmaps
     # come in, and each token's star, a set of the first documents
     dealt = lines.select("c", coarse_order(docs).alias("o"), "parity", "n", F.posexplode("tokens").alias("p", "token"))
     dealt = dealt.select("token", "c", packed(F.col("o"), F.col("parity"), F.col("n"), F.col("p")).alias("np"))
-    once = dealt.repartition("token").groupBy("token", "c").agg(F.min("np").alias("np"))
     by_token = Window.partitionBy("token")
-    several = once.withColumn("held", F.count(F.lit(1)).over(by_token)).filter("held > 1")
+    several = dealt.withColumn("last", F.max("c").over(by_token)).withColumn("least", F.min("c").over(by_token)).filter("least < last")
+    several = several.groupBy("token", "c").agg(F.min("np").alias("np"))
     several = stage.table(several.select("token", "c", "np"), "several")
     stage.free()
     grouped = several.join(info, "c").withColumn("head", F.min(F.struct("np", "c", *WIDE)).over(by_token))
