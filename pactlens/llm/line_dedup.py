@@ -222,10 +222,12 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     star = others.select(F.struct("c", "np", *WIDE).alias("x"), F.col("head").alias("y")).filter(_could_match("x", "y"))
     matched = matches(paired(star, "x", "y"), "star")
 
-    # a set without an earlier match so far meets the others under its tokens
-    x = others.drop("head").alias("x")
-    y = others.drop("head").join(matched.select("c"), "c", "left_anti").alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _could_match("x", "y"))
+    # a set without an earlier match so far meets the others under its tokens, and two such sets meet once
+    unmatched = F.col("matched").isNull()
+    flagged = others.drop("head").join(matched.select("c").distinct().withColumn("matched", F.lit(True)), "c", "left")
+    x, y = flagged.alias("x"), flagged.filter(unmatched).alias("y")
+    once = (F.col("x.c") != F.col("y.c")) & (F.col("x.matched").isNotNull() | (F.col("x.c") < F.col("y.c")))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & once & _could_match("x", "y"))
     known = stage.spark.read.schema("a long, b long").parquet(stage.at("star"))
     more = matches(paired(rest, "x", "y").join(known, ["a", "b"], "left_anti"), "rest")
     stage.drop("grouped", "star", "rest")
