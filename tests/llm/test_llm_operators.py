@@ -106,6 +106,15 @@ def test_line_dedup(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_wide_ids(spark):
+    """Ids over the whole range of a long, null among them: the earliest keeps its line."""
+    a = " ".join(f"k{i}" for i in range(40))
+    rows = [(2**63 - 1, a), (-(2**63), f"{a} more"), (0, f"{a}\nown line"), (None, "short line"), (7, "short line")]
+    got = pairs(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text", "__n_gone")
+    want = [(2**63 - 1, "", 1), (-(2**63), f"{a} more", 0), (0, "own line", 1), (None, "short line", 0), (7, "", 1)]
+    assert got == sorted(want, key=repr)
+
+
 def test_decontamination(spark, docs):
     item = "Alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
     items = spark.createDataFrame([(1, item), (2, "tiny"), (3, None), (4, "!!"), (None, "nine ten"), (1, item)], "item_id long, text string")
