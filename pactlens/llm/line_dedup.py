@@ -31,6 +31,8 @@ RARITY_CELLS = 1 << 18
 BROADCAST_IDS = 500_000
 #: Removed lines (and their documents) up to which they go to the texts by a broadcast, about 16 bytes each; else by a join.
 BROADCAST_LINES = 2_000_000
+#: Sets with lines to remove up to which they go to the lines by a broadcast, about 60 bytes each and the id; else by a join.
+BROADCAST_SETS = 200_000
 BATCH = 2 << 20
 #: Columns of the wide parity bitmap, 64 bits each.
 WIDE = ["w1", "w2", "w3", "w4"]
@@ -188,7 +190,7 @@ def _later(pairs: DataFrame, sets: DataFrame, firsts: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     """(id, version, gone): the numbers of the lines that go, for each document with any. docs: id, version, __text."""
     lines = stage.table(scan(docs, rarity(docs, "__text")), "lines")
-    firsts = stage.table(lines.groupBy("c", "b").agg(F.min(F.struct("id", "version", "line")).alias("first")), "firsts")
+    firsts = stage.table(lines.groupBy("c", "b").agg(F.min(F.struct("id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("held")), "firsts")
     info = lines.filter(F.size("tokens") > 0).select("c", *WIDE).dropDuplicates(["c"])
 
     # tokens that one set alone has leave at once, then the rows that several batches sent of one set are made one; then the wide bitmaps
@@ -232,8 +234,11 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     more = matches(paired(rest, "x", "y").join(known, ["a", "b"], "left_anti"), "rest")
     stage.drop("grouped", "star", "rest")
 
+    # only sets of several lines, or similar to an earlier one, have lines that go
     similar = matched.union(more).distinct().withColumn("similar", F.lit(True))
-    marked = firsts.join(similar, ["c", "b"], "left")
+    marked = stage.table(firsts.filter("held > 1").drop("held").join(similar, ["c", "b"], "full"), "marked")
+    if marked.count() <= BROADCAST_SETS:
+        marked = F.broadcast(marked)
     placed = lines.select("id", "version", "line", "c", "b").join(marked, ["c", "b"])
     gone = placed.filter(F.coalesce("similar", F.lit(False)) | (F.struct("id", "version", "line") != F.col("first")))
     return gone.groupBy("id", "version").agg(F.collect_set("line").alias("gone"))
@@ -253,7 +258,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     version = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long")
     keyed = docs.select(docs[id_col].alias("id"), version.alias("version"), docs[text_col].alias("__text"))
     gone = stage.table(removed_lines(keyed, stage), "gone")
-    stage.drop("lines", "firsts", "star-later", "rest-later")
+    stage.drop("lines", "firsts", "star-later", "rest-later", "marked")
     whole = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), version.alias("version"), docs[text_col].alias("text"))
     gone = gone.select(F.col("id").alias("of_id"), F.col("version").alias("of_version"), "gone")
     if gone.agg(F.sum(1 + F.size("gone"))).first()[0] in range(BROADCAST_LINES):
@@ -268,8 +273,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     worded = F.size(F.filter(numbered, lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
     zero = F.lit(0).cast("long")
     out = joined.withColumn("n_lines", F.coalesce(worded, zero)).withColumn("n_gone", F.coalesce(F.size("gone").cast("long"), zero))
-    if drop_emptied:
-        out = out.filter("n_lines = 0 OR n_gone < n_lines")
+    if drop_emptied:  # a text that loses no line stays, and its lines need no count
+        out = out.filter("gone IS NULL OR n_gone < n_lines")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(numbered, left))
     others = [c for c in docs.columns if c not in ("__n_lines", "__n_gone")]
     passed = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in others]
