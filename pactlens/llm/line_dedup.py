@@ -29,6 +29,8 @@ THRESHOLD = 75
 RARITY_CELLS = 1 << 18
 #: Ids up to which the documents whose line sets are needed are found by a broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Names of sets in candidate pairs up to which these sets are found by a broadcast (8 bytes each); else by a join.
+BROADCAST_NAMES = 1_000_000
 #: Removed lines (and their documents) up to which they go to the texts by a broadcast, about 16 bytes each; else by a join.
 BROADCAST_LINES = 2_000_000
 #: Sets with lines to remove up to which they go to the lines by a broadcast, about 60 bytes each and the id; else by a join.
@@ -176,12 +178,12 @@ def _with(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
     return pairs.join(named, side)
 
 
-def _later(pairs: DataFrame, sets: DataFrame, firsts: DataFrame) -> DataFrame:
+def _later(pairs: DataFrame, sets: DataFrame, places: DataFrame) -> DataFrame:
     """Of the pairs whose full sets reach the threshold, the set (c, b) that first stands later in the corpus."""
     both = _with(_with(pairs, "b", sets), "a", sets)
     same = F.size(F.array_intersect("a_s", "b_s"))
     sure = both.filter(100 * same >= THRESHOLD * (F.size("a_s") + F.size("b_s") - same)).select("a", "a_b", "b", "b_b")
-    first = lambda side: firsts.select(F.col("c").alias(side), F.col("b").alias(f"{side}_b"), F.col("first").alias(f"{side}_first"))
+    first = lambda side: places.select(F.col("c").alias(side), F.col("b").alias(f"{side}_b"), F.col("first").alias(f"{side}_first"))
     placed = sure.join(first("a"), ["a", "a_b"]).join(first("b"), ["b", "b_b"])
     later = F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("c"), F.col("b_b").alias("b")))
     return placed.select(later.otherwise(F.struct(F.col("a").alias("c"), F.col("a_b").alias("b"))).alias("x")).select("x.*").distinct()
@@ -213,11 +215,13 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
 
     def matches(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stage.table(pairs, name)
-        needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b"))).distinct()
-        ids = needed.join(firsts.select("c", F.col("first.id").alias("id")), "c").select("id").distinct()
-        sets = stage.table(sets_of(docs, ids, needed), f"{name}-sets")
-        later = stage.table(_later(pairs, sets, firsts), f"{name}-later")
-        stage.drop(f"{name}-sets")
+        needed = stage.table(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b"))).distinct(), f"{name}-names")
+        if needed.count() <= BROADCAST_NAMES:
+            needed = F.broadcast(needed)
+        places = stage.table(firsts.drop("held").join(needed, "c", "left_semi"), f"{name}-places")
+        sets = stage.table(sets_of(docs, places.select("first.id").distinct(), needed), f"{name}-sets")
+        later = stage.table(_later(pairs, sets, places), f"{name}-later")
+        stage.drop(f"{name}-names", f"{name}-places", f"{name}-sets")
         stage.free()
         return later
 
