@@ -36,6 +36,8 @@ BROADCAST_LINES = 2_000_000
 #: Sets with lines to remove up to which they go to the lines by a broadcast, about 60 bytes each and the id; else by a join.
 BROADCAST_SETS = 200_000
 BATCH = 2 << 20
+#: Sets under a token from which those without a match meet the earliest of themselves before they meet all others; the result is the same.
+CROWD = 8
 #: Columns of the wide parity bitmap, 64 bits each.
 WIDE = ["w1", "w2", "w3", "w4"]
 
@@ -204,8 +206,8 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     several = several.groupBy("token", "c").agg(F.min("np").alias("np"))
     several = stage.table(several.select("token", "c", "np"), "several")
     stage.free()
-    grouped = several.join(info, "c").withColumn("head", F.min(F.struct("np", "c", *WIDE)).over(by_token))
-    grouped = stage.table(grouped.select("token", "c", "np", *WIDE, "head"), "grouped")
+    grouped = several.join(info, "c").withColumn("head", F.min(F.struct("np", "c", *WIDE)).over(by_token)).withColumn("crowd", F.count(F.lit(1)).over(by_token))
+    grouped = stage.table(grouped.select("token", "c", "np", *WIDE, "head", "crowd"), "grouped")
     stage.drop("several")
     stage.free()
     others = grouped.filter("c <> head.c")
@@ -228,15 +230,28 @@ def removed_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     star = others.select(F.struct("c", "np", *WIDE).alias("x"), F.col("head").alias("y")).filter(_could_match("x", "y"))
     matched = matches(paired(star, "x", "y"), "star")
 
-    # a set without an earlier match so far meets the others under its tokens, and two such sets meet once
-    unmatched = F.col("matched").isNull()
-    flagged = others.drop("head").join(matched.select("c").distinct().withColumn("matched", F.lit(True)), "c", "left")
-    x, y = flagged.alias("x"), flagged.filter(unmatched).alias("y")
+    def flagged(matched: DataFrame) -> DataFrame:
+        # under a token of two sets the head has met the other one
+        names = matched.select("c").distinct().withColumn("matched", F.lit(True))
+        if names.count() <= BROADCAST_NAMES:
+            names = F.broadcast(names)
+        return others.filter("crowd > 2").drop("head").join(names, "c", "left")
+
+    # where many sets share a token, those without an earlier match so far meet the earliest of themselves, so that a group of sets
+    # similar to each other and not to the head is found by one pair a set
+    alone = flagged(matched).filter(F.col("matched").isNull() & (F.col("crowd") >= CROWD)).withColumn("head", F.min(F.struct("np", "c", *WIDE)).over(by_token))
+    second = alone.filter("c <> head.c").select(F.struct("c", "np", *WIDE).alias("x"), F.col("head").alias("y")).filter(_could_match("x", "y"))
+    met = stage.spark.read.schema("a long, b long").parquet(stage.at("star"))
+    matched = matched.union(matches(paired(second, "x", "y").join(met, ["a", "b"], "left_anti"), "second"))
+
+    # the sets still without one meet the others under their tokens, and two such sets meet once
+    rows = flagged(matched)
+    x, y = rows.alias("x"), rows.filter(F.col("matched").isNull()).alias("y")
     once = (F.col("x.c") != F.col("y.c")) & (F.col("x.matched").isNotNull() | (F.col("x.c") < F.col("y.c")))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & once & _could_match("x", "y"))
-    known = stage.spark.read.schema("a long, b long").parquet(stage.at("star"))
-    more = matches(paired(rest, "x", "y").join(known, ["a", "b"], "left_anti"), "rest")
-    stage.drop("grouped", "star", "rest")
+    met = met.union(stage.spark.read.schema("a long, b long").parquet(stage.at("second")))
+    more = matches(paired(rest, "x", "y").join(met, ["a", "b"], "left_anti"), "rest")
+    stage.drop("grouped", "star", "second", "rest")
 
     # only sets of several lines, or similar to an earlier one, have lines that go
     similar = matched.union(more).distinct().withColumn("similar", F.lit(True))
@@ -262,7 +277,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     version = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).cast("long")
     keyed = docs.select(docs[id_col].alias("id"), version.alias("version"), docs[text_col].alias("__text"))
     gone = stage.table(removed_lines(keyed, stage), "gone")
-    stage.drop("lines", "firsts", "star-later", "rest-later", "marked")
+    stage.drop("lines", "firsts", "star-later", "second-later", "rest-later", "marked")
     whole = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), version.alias("version"), docs[text_col].alias("text"))
     gone = gone.select(F.col("id").alias("of_id"), F.col("version").alias("of_version"), "gone")
     if gone.agg(F.sum(1 + F.size("gone"))).first()[0] in range(BROADCAST_LINES):
