@@ -27,6 +27,8 @@ from pactlens.llm.shingles import identity, line_sets, parity
 THRESHOLD = 75
 #: Cells of the table of token counts (4 bytes each, shared by all tokens of the same low bits).
 RARITY_CELLS = 1 << 18
+#: Cells that go through the shuffle as one row.
+RARITY_BLOCK = 1 << 12
 #: Ids up to which the documents whose line sets are needed are found by a broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Names of sets in candidate pairs up to which these sets are found by a broadcast (8 bytes each); else by a join.
@@ -50,13 +52,22 @@ def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
         for b in by_bytes(batches, "__text", BATCH):
             hashes, *_ = line_sets(strings(b.column("__text")))
             total += np.bincount((hashes & np.uint64(RARITY_CELLS - 1)).astype(np.int64), minlength=RARITY_CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+        yield blocks(dict(enumerate(total.reshape(-1, RARITY_BLOCK))))
 
-    cells = docs.select(docs[text_col].alias("__text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = cells.toPandas()  # RARITY_CELLS rows at most
+    def add(batches):
+        total = {}
+        for b in batches:
+            for k, n in zip(b.column("block").to_pylist(), b.column("n").to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(n, np.int64)
+        yield blocks(total)
+
+    def blocks(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([n.tobytes() for n in total.values()], pa.binary())], names=["block", "n"])
+
+    form = "block long, n binary"
     out = np.zeros(RARITY_CELLS, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    for k, n in docs.select(docs[text_col].alias("__text")).mapInArrow(run, form).repartition("block").mapInArrow(add, form).collect():  # RARITY_CELLS numbers
+        out[k * RARITY_BLOCK : (k + 1) * RARITY_BLOCK] = np.frombuffer(n, np.int64)
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
