@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that a Python worker holds at once (one document may exceed it), and rows that Spark sends it at once.
 BATCH_BYTES = 4 << 20
 ARROW_ROWS = 1000
+#: With this Spark deletes a query's shuffle files as the query ends; a table that is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,7 +42,12 @@ class Stage:
         return f"{self.path}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.at(name))
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.at(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
