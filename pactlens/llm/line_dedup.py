@@ -5,8 +5,8 @@ are in the corpus; two sets of similarity 0.75 or more have a token in common am
 those prefixes are joined, under the length filter and the positional filter, and the surviving pairs are verified on full sets.
 
 A line goes if an earlier line of the corpus, in the order (document, line), is equal or similar to it. Only the existence of one
-earlier match matters: under each prefix token a set first meets the earliest one alone (a star); those still without a match meet
-the others. Rarity only orders tokens, and any one order gives the same result: counts are kept in a table of a fixed size.
+earlier match matters: under each prefix token a set first meets the earliest one alone (a star). Where many share a token, those still
+without a match meet the earliest of themselves (a second star). Those without a match after that meet the others. Rarity only orders tokens, and any one order gives the same result: counts are kept in a table of a fixed size.
 
 Before full sets are fetched, parity bitmaps refute candidates; they bound the symmetric difference from below and lose no pair. Lines
 are equal if both 64-bit names of their sets are; pairs of candidates go by the first name alone, and all sets of that name are verified.
