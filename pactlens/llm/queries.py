@@ -13,10 +13,13 @@ from pactlens.llm.classifier import classify
 from pactlens.llm.decontam import decontaminate
 from pactlens.llm.line_dedup import dedup_lines
 from pactlens.llm.near_dup import near_duplicates
+from pactlens.llm.packing import pack
 from pactlens.llm.quality_rules import quality_rules
+from pactlens.llm.resampling import importance
 from pactlens.llm.secret_scan import KINDS, scan_secrets
 from pactlens.llm.token_binary import token_binary
 from pactlens.llm.token_counts import count_tokens
+from pactlens.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, codebook_digest, vector_codes, with_label_error
 from pactlens.llm.warc import archive
 
 
@@ -136,6 +139,47 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark and, for those drawn, its rank. Null and empty texts weigh 0 and are not drawn."""
+    found = importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector without null or non-finite components."""
+    coded, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    square = "list_sum(list_transform(range(1, len(x.a) + 1), lambda i: (x.a[i] - b.c[i]) * (x.a[i] - b.c[i])))"
+    ctes = [
+        f"v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS place, list_transform(embedding, lambda z: floor({SCALE} * z::DOUBLE)::BIGINT) AS q FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0)",
+        f"x AS (SELECT vec_id, label, place, p, q[p * len(q) // {PARTS} + 1:(p + 1) * len(q) // {PARTS}] AS a FROM v, range({PARTS}) r(p))",
+        f"b0 AS (SELECT p, place - 1 AS k, a AS c FROM x WHERE place <= {ENTRIES})",
+    ]
+    for r in range(ROUNDS + 1):
+        near = f"SELECT x.vec_id, x.label, x.p, x.a, min((({square})::BIGINT, b.k)) AS m FROM x JOIN b{r} b USING (p) GROUP BY ALL"
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p, a, m[1] AS d, m[2] AS k FROM ({near}))")
+        if r < ROUNDS:
+            each = f"SELECT p, k, j, floor(sum(a[j]) / count(*))::BIGINT AS c FROM a{r}, range(1, len(a) + 1) z(j) GROUP BY p, k, j"
+            ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(n.c, o.c) AS c FROM b{r} o LEFT JOIN (SELECT p, k, list(c ORDER BY j) AS c FROM ({each}) GROUP BY p, k) n USING (p, k))")
+    return f"""WITH {', '.join(ctes)},
+      coded AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY vec_id, label),
+      sha AS (SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY p, k), '')) AS codebooks_sha256 FROM b{ROUNDS})
+      SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, sha"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence. Null texts have their end id alone."""
+    packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -148,6 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_binary": op8_token_binary,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_line_dedup": op10_line_dedup,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_packing": op13_packing,
     }
 
 
@@ -157,4 +204,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": OP6_SQL,
         "op10_line_dedup": OP10_SQL,
         "op7_decontamination": OP7_SQL,
+        "op12_vector_codes": OP12_SQL,
     }
