@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import BLANK, strip, text_of, title_case, title_ratio, upper_ratio, words
+from pactlens.functions.text import BLANK, BLANKS, let, strip, text_of, title_case, upper_ratio, words
 
 #: Lines that open like a contact, address or signature; fixed values.
 CONTACT = (
@@ -18,26 +18,30 @@ PLACE = r"(?i)\b(?:Street|Road|Avenue|Drive|Lane|Boulevard|Way|Court|Place|Circl
 HONORIFIC = rf"(?i)^(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?{BLANK}"
 POSTCODE = rf"^[A-Z]{{1,2}}[0-9][A-Z0-9]?{BLANK}*[0-9][A-Z]{{2}}$"
 CAPITALS = r"^[A-Z0-9][A-Z0-9 .,:;()'\"/\\-]{2,}$"
-ARTICLE = rf"(?i)^(ARTICLE{BLANK}+(?:[IVXLCDM]+|[0-9]+)\b)(.*)$"
-MARKED = r"(?i)^({W}{B}+([0-9]+(?:\.[0-9]+)*)\b)((?s).*)$"
-SIGN = rf"^(\x{{A7}}{BLANK}*([0-9]+(?:\.[0-9]+)*)\b)((?s).*)$"
+ARTICLE = rf"(?i)^(ARTICLE{BLANK}+(?:[IVXLCDM]+|[0-9]+)\b)"
+MARKED = r"(?i)^({W}{B}+([0-9]+(?:\.[0-9]+)*)\b)((?s:.*))$"
+SIGN = rf"^(\x{{A7}}{BLANK}*([0-9]+(?:\.[0-9]+)*)\b)((?s:.*))$"
 NUMBERED = rf"(?i)^([0-9]+(?:\.[0-9]+){{0,6}})(\([a-z]\))?{BLANK}*(?:[.)]{BLANK}*)?(.+)?$"
 SCHEMA = "struct<level:int,label:string,title:string,raw:string>"
 MAX_LENGTH = 160
 
 
 def looks_like_sentence(c: Column) -> Column:
-    t = strip(c)
+    return let(strip(c), _sentence)
+
+
+def _sentence(t: Column) -> Column:
+    """The same of a stripped text; the cheapest signs come first."""
     commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    after = F.regexp_extract(t, r"(?s)^.*?\. (.*)$", 1)
-    two = t.rlike(rf"\.{BLANK}+[\p{{L}}\p{{N}}_]") & t.contains(". ") & (F.size(words(after)) >= 3)
+    after = F.substring(t, F.instr(t, ". ") + 2, F.length(t))
+    two = t.contains(". ") & t.rlike(rf"\.{BLANK}+[\p{{L}}\p{{N}}_]") & (F.size(words(after)) >= 3)
     ends = t.rlike(r"[.!?]$") & ~t.rlike(r"^[0-9]+(?:\.[0-9]+)*[.)]?$")
-    return t.contains(";") | (commas >= 2) | t.rlike(MODAL) | two | ends
+    return t.contains(";") | (commas >= 2) | ends | two | t.rlike(MODAL)
 
 
 def _rest(c: Column) -> Column:
     """The title after a marker, null if nothing is left."""
-    return F.nullif(F.regexp_replace(c, r"^[ \t\x{2013}\x{2014}:-]+|[ \t\x{2013}\x{2014}:-]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(" \t\u2013\u2014:-")), F.lit(""))
 
 
 def _heading(level: Column | int, label: Column, title: Column | None, raw: Column) -> Column:
@@ -46,35 +50,77 @@ def _heading(level: Column | int, label: Column, title: Column | None, raw: Colu
 
 
 def parse_heading(c: Column, max_len: int = MAX_LENGTH) -> Column:
-    """struct(level, label, title, raw), or null. Levels: 0 article, 1 section or title, 2 number, 3 number with (a)."""
-    raw = strip(c)
+    """struct(level, label, title, raw), or null. Levels: 0 article, 1 section or title, 2 number, 3 number with (a).
+
+    Length and first character come first: a long line is none, and markers are only looked for behind A, S, C, a section sign or a
+    digit. The stripped line and what a marker's pattern finds are bound once.
+    """
+    return let(strip(c), lambda raw: F.when((raw != "") & (F.length(raw) <= max_len), _parsed(raw)))
+
+
+def _parsed(raw: Column) -> Column:
     none = F.lit(None).cast(SCHEMA)
-    sentence = looks_like_sentence(raw)
-    out = F.when((raw == "") | (F.length(raw) > max_len) | raw.rlike(rf"(?i)^(?:{CONTACT})") | raw.rlike(rf"^(?:{NAME_TITLE})"), none)
-    marker = F.regexp_extract(raw, ARTICLE.replace("(.*)$", "((?s).*)$"), 1)
-    out = out.when(marker != "", F.when(~sentence, _heading(0, title_case(marker), _rest(F.substring(raw, F.length(marker) + 1, F.length(raw))), raw)))
-    for word, label in (("SECTION", "Section "), ("CLAUSE", "Clause "), (None, "§ ")):
-        pattern = SIGN if word is None else MARKED.replace("{W}", word).replace("{B}", BLANK)
-        num, rest = F.regexp_extract(raw, pattern, 2), F.regexp_extract(raw, pattern, 3)
-        bad = sentence | num.contains(".")
+    begin = F.upper(F.substring(raw, 1, 1))
+    out = F.when(raw.rlike(rf"(?i)^(?:{CONTACT})") | raw.rlike(rf"^(?:{NAME_TITLE})"), none)
+    out = out.when(begin.between("0", "9"), _numbered(raw))
+    for first, parsed in (("A", _article), ("S", lambda r: _marked(r, "SECTION", "Section ")), ("C", lambda r: _marked(r, "CLAUSE", "Clause ")), ("§", lambda r: _marked(r, None, "§ "))):
+        marker = {"A": ARTICLE, "S": _marker("SECTION"), "C": _marker("CLAUSE"), "§": SIGN}[first]
+        out = out.when((begin == first) & raw.rlike(marker), parsed(raw))
+    return out.otherwise(_plain(raw))
+
+
+def _article(raw: Column) -> Column:
+    found = lambda m: _heading(0, title_case(m), _rest(F.substring(raw, F.length(m) + 1, F.length(raw))), raw)
+    return F.when(~_sentence(raw), let(F.regexp_extract(raw, ARTICLE, 1), found))
+
+
+def _marker(word: str) -> str:
+    return MARKED.replace("{W}", word).replace("{B}", BLANK)
+
+
+def _marked(raw: Column, word: str | None, label: str) -> Column:
+    pattern = SIGN if word is None else _marker(word)
+
+    def found(num: Column) -> Column:
+        rest = F.regexp_extract(raw, pattern, 3)
+        bad = num.contains(".")
         if word == "SECTION":
-            bad = bad | F.regexp_replace(rest, rf"^{BLANK}+", "").rlike("^[,;]")
-        out = out.when(num != "", F.when(~bad, _heading(1, F.concat(F.lit(label), num), _rest(rest), raw)))
-    num, tail = F.regexp_extract(raw, NUMBERED, 1), F.regexp_extract(raw, NUMBERED, 2)
-    title = _rest(strip(F.regexp_extract(raw, NUMBERED, 3)))
-    level = F.when(tail == "", F.lit(2)).otherwise(F.lit(3))
-    bare = title.isNull() & (tail == "") & ~raw.rlike(rf"^[0-9]+{BLANK}*[.)]$")
-    numbered = (
-        F.when(num.contains(".") | bare, none)
-        .when(sentence, F.when(raw.rlike(r"^[0-9]+[.)]?$"), _heading(level, F.concat(num, tail), None, raw)))
-        .when(title.rlike(r"^\p{Ll}") | title.rlike(rf"^(?:[0-9]|{BLANK})+$"), none)
-        .otherwise(_heading(level, F.concat(num, tail), title, raw))
-    )
-    out = out.when(num != "", numbered)
-    n = F.size(words(raw))
-    out = out.when(sentence | raw.rlike(r"^\p{Ll}") | (n > 12) | raw.rlike(POSTCODE) | (raw.contains(":") & ~raw.endswith(":")), none)
-    out = out.when(raw.rlike(CAPITALS) & (upper_ratio(raw) >= 0.85) & ~raw.contains(","), _heading(1, title_case(raw), None, raw))
-    return out.when(raw.rlike(PLACE) | raw.rlike(HONORIFIC), none).when((n >= 2) & (title_ratio(raw) >= 0.7), _heading(1, raw, None, raw))
+            bad = bad | F.ltrim(rest, F.lit(BLANKS)).rlike("^[,;]")
+        return F.when(~bad, _heading(1, F.concat(F.lit(label), num), _rest(rest), raw))
+
+    return F.when(~_sentence(raw), let(F.regexp_extract(raw, pattern, 2), found))
+
+
+def _numbered(raw: Column) -> Column:
+    """After digits, whatever follows them: the pattern always matches."""
+    parts = F.struct(*[F.regexp_extract(raw, NUMBERED, k).alias(n) for k, n in ((1, "num"), (2, "tail"), (3, "rest"))])
+
+    def found(p: Column) -> Column:
+        level = F.when(p["tail"] == "", F.lit(2)).otherwise(F.lit(3))
+        own = lambda title: _heading(level, F.concat(p["num"], p["tail"]), title, raw)
+        bare = lambda t: t.isNull() & (p["tail"] == "") & ~raw.rlike(rf"^[0-9]+{BLANK}*[.)]$")
+        titled = lambda t: (
+            F.when(bare(t), F.lit(None).cast(SCHEMA))
+            .when(_sentence(raw), F.when(raw.rlike(r"^[0-9]+[.)]?$"), own(None)))
+            .when(~F.coalesce(t.rlike(r"^\p{Ll}") | t.rlike(rf"^(?:[0-9]|{BLANK})+$"), F.lit(False)), own(t))
+        )
+        return F.when(~p["num"].contains("."), let(_rest(strip(p["rest"])), titled))
+
+    return let(parts, found)
+
+
+def _plain(raw: Column) -> Column:
+    """Titles without a marker: few words, capitals or capitalised."""
+
+    def counted(w: Column) -> Column:
+        n = F.size(w)
+        titled = F.size(F.filter(w, lambda x: x.rlike(r"(?s)^\p{Lu}.*\p{Ll}")))
+        low = raw.rlike(r"^\p{Ll}") | (n > 12) | (raw.contains(":") & ~raw.endswith(":")) | raw.rlike(POSTCODE)
+        capitals = raw.rlike(CAPITALS) & ~raw.contains(",") & (upper_ratio(raw) >= 0.85)
+        title = (n >= 2) & (titled >= n * F.lit(0.7)) & ~raw.rlike(PLACE) & ~raw.rlike(HONORIFIC)
+        return F.when(~low, F.when(~_sentence(raw), F.when(capitals, _heading(1, title_case(raw), None, raw)).when(title, _heading(1, raw, None, raw))))
+
+    return let(words(raw), counted)
 
 
 def is_top_heading(heading: Column) -> Column:

@@ -6,11 +6,15 @@ All take and give columns, treat null as the empty text, and stay inside the JVM
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space, in the syntax that Java and RE2 share.
 BLANK = r"[ \t\n\r\f\x0B\x1C-\x1F\x85\xA0\p{Z}]"
+#: The same characters, one by one.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PAGE_LINE = rf"(?imd)^{BLANK}*(?:Page{BLANK}*)?-{BLANK}*\p{{Nd}}+{BLANK}*-{BLANK}*$"
 PAGE_FRAGMENT = rf"(?i)Page{BLANK}*-{BLANK}*\p{{Nd}}+{BLANK}*-{BLANK}*"
 CONTROL_OR_BLOCK = r"[\x00-\x08\x0B\x0E-\x1F\x7F\x{25A0}-\x{25FF}]"
@@ -26,7 +30,12 @@ def text_of(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text_of(c), rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text_of(c), F.lit(BLANKS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row; where body names it often, Catalyst would put the whole expression in each place."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def words(c: Column) -> Column:
@@ -95,7 +104,7 @@ def strip_page_fragment(c: Column) -> Column:
 
 
 def bullet_kind(c: Column) -> Column:
-    s = F.regexp_replace(text_of(c), rf"^{BLANK}+", "")
+    s = F.ltrim(text_of(c), F.lit(BLANKS))
     return (
         F.when(s.rlike(rf"^[-*\x{{2022}}]{BLANK}+"), F.lit("symbol"))
         .when(s.rlike(rf"^\(?\p{{Nd}}{{1,3}}[).\]]{BLANK}+"), F.lit("number"))
