@@ -130,6 +130,11 @@ def signature(t: str, no_heading: str) -> str:
     return f"(length({t}) >= 3 AND {no_heading} AND NOT {has(t, r'^[0-9]+(?:\.[0-9]+)+')} AND ({any_of}))"
 
 
+def bullet_kind(e: str) -> str:
+    s = sub(f"coalesce({e}, '')", f"^{BLANK}+", "")
+    return f"(CASE WHEN {has(s, rf'^[-*•]{BLANK}')} THEN 'symbol' WHEN {has(s, rf'^\(?\p{{Nd}}{{1,3}}[).\]]{BLANK}')} THEN 'number' WHEN {has(s, rf'^[A-Za-z][).\]]{BLANK}')} THEN 'letter' ELSE '' END)"
+
+
 def valid_reference(e: str) -> str:
     s = strip(e)
     return f"({s} <> '' AND (" + " OR ".join(f"contains(lower({s}), {lit(x.lower())})" for x in STATUTES) + f" OR {has(s, ACT_FORM)} OR {has(s, SHORT_FORM)}))"
@@ -141,10 +146,13 @@ def dedupe_key(category: str, quote: str, what: str) -> str:
     return f"sha256(lower({strip(category)}) || chr(10) || CASE WHEN length({q}) < 10 THEN {q} || '|' || {more} ELSE {q} END)"
 
 
-#: The lines of all agreements, with headings: doc_id, idx from 0, text.
-LINES = f"""{CONTRACTS},
+#: The lines of all agreements: doc_id, idx from 0, text.
+RAW = f"""{CONTRACTS},
   raw_lines AS (SELECT doc_id, i - 1 AS idx, x AS text FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS x,
-    generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS i FROM contracts)),
+    generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS i FROM contracts))"""
+
+#: The same with headings.
+LINES = f"""{RAW},
   lines AS ({headings('raw_lines', 'text')})"""
 
 #: Findings of the default cues over the lines: one for each sentence and cue that it matches.
