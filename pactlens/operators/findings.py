@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlens.functions.findings import dedupe_key
-from pactlens.functions.text import BLANK, match_key, slug, squeeze, text_of, words
+from pactlens.functions.findings import MAX_REFERENCES, dedupe_key, severity, valid_references
+from pactlens.functions.text import BLANK, match_key, slug, squeeze, strip, text_of, words
 
 
 @dataclass(frozen=True)
@@ -57,6 +56,43 @@ def classify(paragraphs: DataFrame, cues: tuple[Cue, ...] = CUES) -> DataFrame:
     return each.select("doc_id", "idx", "n", "quote", F.inline(found(F.col("quote"))))
 
 
+#: What a finding recommends where its classifier says nothing, by category; fixed values.
+RECOMMENDED = {
+    "uncapped_liability": "Confirm whether liability is capped and whether carve-outs are acceptable.",
+    "termination_for_convenience": "Assess whether termination without cause is acceptable; consider adding constraints/fees.",
+    "irrevocable_or_perpetual_license": "Review whether perpetual/irrevocable rights are intended; consider term/termination limits.",
+    "most_favored_nation": "Evaluate MFN obligations; consider narrowing scope and defining comparators.",
+    "audit_rights": "Check audit scope, frequency, confidentiality, and cost allocation.",
+}
+RECOMMENDED_ELSE = "Review the clause for compliance and propose a tenant-fair revision."
+CONFIDENCE = 0.8
+
+
+def recommendation(category_id: Column, said: Column) -> Column:
+    """What was said, else the category's default."""
+    out = F
+    for category, text in RECOMMENDED.items():
+        out = out.when(category_id == category, F.lit(text))
+    return F.coalesce(F.nullif(strip(said), F.lit("")), out.otherwise(F.lit(RECOMMENDED_ELSE)))
+
+
+def grade(found: DataFrame) -> DataFrame:
+    """Findings with all their fields from what classify() finds; seq is their order in the document."""
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "n", "category_id"))
+    name = F.initcap(F.replace(F.col("category_id"), F.lit("_"), F.lit(" ")))
+    refs = F.regexp_extract_all("quote", F.lit(r"((?:[A-Z][a-z]+ )+Act [0-9]{4})"), 1)
+    score, text = F.col("severity"), F.lit("")
+    graded = found.withColumn("seq", seq)
+    return graded.select(
+        "doc_id", "seq", F.concat_ws("_", F.lit("f"), "idx", "seq").alias("finding_id"), "idx", "category_id", name.alias("category_name"), severity(score).alias("severity"),
+        F.lit(CONFIDENCE).alias("confidence"), (F.col("violation") > 0).alias("is_unfair"), name.alias("issue_title"), F.concat(F.lit("- "), F.col("category_id")).alias("what"),
+        F.concat(F.lit("cue "), F.col("category_id")).alias("explanation"), recommendation(F.col("category_id"), text).alias("recommendation"), "quote", F.slice(valid_references(refs), 1, MAX_REFERENCES).alias("refs"),
+        text.alias("possible_consequences"), score.alias("severity_of_consequences"), F.col("violation").alias("degree_of_legal_violation"),
+        F.when(score >= 3, "Void").when(score == 2, "Unenforceable").otherwise("Nothing").alias("consequences_category"), F.when(score >= 2, "Penalty").otherwise("Nothing").alias("risk_category"),
+        text.alias("revised_clause"), text.alias("revision_explanation"), text.alias("suggested_follow_up"),
+    )
+
+
 def resolve_categories(rows: DataFrame, taxonomy: DataFrame, name_col: str = "category", aliases: dict[str, str] | None = None) -> DataFrame:
     """A column category_id: by id, else by name in any case, else by alias, else the name's slug. The taxonomy is small."""
     tax = F.broadcast(taxonomy.select(F.col("id").alias("__id"), squeeze(F.col("name")).alias("__name")).dropDuplicates(["__name"]))
@@ -115,106 +151,21 @@ def locate(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return best.select("doc_id", "quote_id", F.col("b.tier").alias("tier"), F.col("b.idx").alias("idx"), F.col("b.evidence").alias("evidence"))
 
 
-def dedupe_exact(findings: DataFrame) -> DataFrame:
-    """The first finding (by seq) of each key of category, quote and what is wrong in a document."""
+def dedupe_exact(findings: DataFrame, order: str = "seq") -> DataFrame:
+    """The first finding, in this order, of each key of category, quote and what is wrong in a document."""
     keyed = findings.withColumn("dedupe_key", dedupe_key(F.col("category_id"), F.col("quote"), F.col("what")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "dedupe_key").orderBy("seq"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "dedupe_key").orderBy(order))
     return keyed.withColumn("__n", first).filter("__n = 1").drop("__n")
 
 
-def best_by_quote(findings: DataFrame) -> DataFrame:
+def best_by_quote(findings: DataFrame, order: str = "seq") -> DataFrame:
     """Of findings of a category with the same substantial quote (key over 20 characters) the one with the longest quote, then the
     longest explanation, then the first; others stay as they are."""
     key = match_key(F.col("quote"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "category_id", "__key").orderBy(F.length("quote").desc(), F.length("explanation").desc(), "seq"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "category_id", "__key").orderBy(F.length("quote").desc(), F.length("explanation").desc(), order))
     return findings.withColumn("__key", key).withColumn("__n", rank).filter("length(__key) <= 20 OR __n = 1").drop("__key", "__n")
 
 
-MERGE_NAMES = ["doc_id", "seq", "idx", "category_id", "severity", "is_unfair", "quote", "explanation", "what", "refs"]
-MERGE_FIELDS = "seq int, idx int, category_id string, severity string, is_unfair boolean, quote string, explanation string, what string, refs array<string>"
-
-
-def merge_findings(findings: DataFrame) -> DataFrame:
-    """Findings of one document and category merged within a paragraph, then over nearby ones (see merge_group).
-
-    Clusters are stars around their first finding, so the walk is sequential; its group is a document's findings of one category.
-    """
-    prepared = best_by_quote(dedupe_exact(findings)).select("doc_id", "seq", "idx", "category_id", "severity", "is_unfair", "quote", "explanation", "what", "refs", match_key(F.col("quote")).alias("key"))
-    kind = findings.schema["doc_id"].dataType.simpleString()
-    fields = ["seq", "idx", "severity", "is_unfair", "quote", "explanation", "what", "refs", "key"]
-    grouped = prepared.groupBy("doc_id", "category_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-
-    def run(batches):
-        for b in batches:
-            out = [(doc, f["seq"], f["idx"], category, *[f[c] for c in fields[2:8]]) for doc, category, rows in zip(*(b.column(i).to_pylist() for i in range(3))) for f in merge_group(rows)]
-            types = [b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-            columns = list(zip(*out)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=MERGE_NAMES)
-
-    return grouped.mapInArrow(run, f"doc_id {kind}, {MERGE_FIELDS}")
-
-
-def _related(a: str, b: str, strict: bool) -> bool:
-    from pactlens.functions.findings import STOP
-
-    if not a or not b:
-        return False
-    if a in b or b in a:
-        return True
-    u, v = a.split(), b.split()
-    if any(u[-n:] == v[:n] or v[-n:] == u[:n] for n in (5, 4, 3) if min(len(u), len(v)) >= n):
-        return True
-    if strict:
-        return False
-    telling = lambda w: [t for t in w if len(t) > 3 and t not in STOP]
-    shorter, longer = (u, v) if len(a) < len(b) else (v, u)
-    own = telling(shorter)
-    return len(set(telling(u)) & set(telling(v))) >= 3 or sum(t in longer for t in own) >= max(3, 0.5 * len(own))
-
-
-def merge_group(items: list[dict]) -> list[dict]:
-    """The findings of one document and category, in order of seq, after merging. Those without a paragraph stay as they are, at the end."""
-    core = lambda f: (f["what"].strip(), f["explanation"].strip(), f["severity"], bool(f["is_unfair"]), tuple(sorted(str(r).strip() for r in f["refs"])))
-
-    def stars(pool: list[dict], joins) -> list[list[dict]]:
-        out: list[list[dict]] = []
-        for f in pool:
-            home = next((s for s in out if joins(s[0], f)), None)
-            if home is None:
-                out.append([f])
-            else:
-                home.append(f)
-        return out
-
-    unplaced, items = [f for f in items if f["idx"] is None], [f for f in items if f["idx"] is not None]
-    here = stars(items, lambda a, b: a["idx"] == b["idx"] and (_related(a["key"], b["key"], False) or core(a) == core(b)))
-    kept = [max(s, key=lambda f: (len(f["quote"]), len(f["explanation"]))) for s in here]
-    kept.sort(key=lambda f: f["idx"])
-
-    def nearby(a: dict, b: dict) -> bool:
-        close = abs(a["idx"] - b["idx"]) <= 3
-        quote = _related(a["key"], b["key"], close)
-        return quote or core(a) == core(b) if close else quote and core(a) == core(b)
-
-    order = {"high": 3, "medium": 2, "low": 1}
-    out = []
-    for s in stars(kept, nearby):
-        merged, quotes = dict(s[0]), []
-        for f in s:
-            if f["quote"].strip() and not any(f["key"] in q["key"] or q["key"] in f["key"] for q in quotes):
-                quotes.append(f)
-        if len(s) > 1:
-            holds_all = [q for q in quotes if all(o["key"] in q["key"] for o in quotes)]
-            chosen = min(holds_all, key=lambda q: len(q["quote"])) if holds_all else max(quotes, key=lambda q: len(q["quote"]), default=s[0])
-            merged["quote"] = chosen["quote"]
-            merged["explanation"] = "\n\n".join(dict.fromkeys(f["explanation"].strip() for f in s if f["explanation"].strip()))
-            merged["refs"] = list(dict.fromkeys(str(r).strip() for f in s for r in f["refs"] if str(r).strip()))[:6]
-            merged["severity"] = max((f["severity"] for f in s), key=lambda x: order.get(x, 0))
-            merged["is_unfair"] = any(f["is_unfair"] for f in s)
-        out.append(merged)
-    return out + [dict(f) for f in unplaced]
-
-
 def summarize(findings: DataFrame, documents: DataFrame) -> DataFrame:
     """doc_id, risk_score (20, 10 and 5 for each high, medium and low, 100 at most), the counts, and the ten commonest categories.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.functions import findings as fn
 from pactlens.functions.text import normalize
 from pactlens.operators import findings as fo
 from pactlens.operators import segment, structure, windows
+from pactlens.operators.merging import annotated, merge_findings
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,10 @@ class Analysis:
     findings: DataFrame
     summary: DataFrame
 
+    def annotated(self) -> DataFrame:
+        """What a reader of the document is shown: see merging.annotated()."""
+        return annotated(self.paragraphs, self.findings)
+
 
 def analyze(docs: DataFrame, cues: tuple[fo.Cue, ...] = fo.CUES) -> Analysis:
     """Paragraphs, windows, merged findings and a summary for each document (doc_id, text), all lazy.
@@ -33,11 +37,6 @@ def analyze(docs: DataFrame, cues: tuple[fo.Cue, ...] = fo.CUES) -> Analysis:
     parted = structure.sections(structure.drop_garbage(pathed))
     bodies = windows.body(parted)
     found = fo.classify(bodies.select("doc_id", "idx", "text"), cues)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "n", "category_id"))
-    refs = F.regexp_extract_all("quote", F.lit(r"((?:[A-Z][a-z]+ )+Act [0-9]{4})"), 1)
-    graded = found.select(
-        "doc_id", seq.alias("seq"), "idx", "category_id", fn.severity(F.col("severity")).alias("severity"), (F.col("violation") > 0).alias("is_unfair"), "quote",
-        F.concat(F.lit("cue "), F.col("category_id")).alias("explanation"), F.concat(F.lit("- "), F.col("category_id")).alias("what"), fn.valid_references(refs).alias("refs"),
-    )
-    findings = fo.merge_findings(graded)
+    # merging is no fixpoint: what the second time merges depends on the quotes that the first has chosen, so results are merged twice
+    findings = merge_findings(fo.grade(found), times=2)
     return Analysis(parted, windows.plan_windows(bodies), findings, fo.summarize(findings, docs))

@@ -11,7 +11,7 @@ from pactlens.functions import findings as fn
 from pactlens.functions import headings as hd
 from pactlens.functions import text as tx
 from pactlens.operators import findings as fo
-from pactlens.operators import segment, structure, windows
+from pactlens.operators import merging, segment, structure, windows
 from pactlens.plans import duck as d
 from pactlens.sources.contracts import contracts, unique_ids
 
@@ -44,14 +44,8 @@ def cue_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings with the fields that merging and the roll-up need."""
-    found = cue_findings(spark, sf_dir)
-    cited = F.regexp_extract_all("quote", F.lit(r"([A-Z][a-z]+ [A-Z][a-z]+ Act [0-9]{4})"), 1)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "n", "category_id"))
-    return found.select(
-        "doc_id", seq.alias("seq"), "idx", "category_id", fn.severity(F.col("severity")).alias("severity"), (F.col("violation") > 0).alias("is_unfair"), "quote",
-        F.concat(F.lit("cue "), F.col("category_id")).alias("explanation"), F.concat(F.lit("- "), F.col("category_id")).alias("what"), cited.alias("refs"),
-    )
+    """Findings with all their fields."""
+    return fo.grade(cue_findings(spark, sf_dir))
 
 
 BOTH = f"WITH {d.CONTRACTS}, both_ AS (SELECT 'c' AS kind, doc_id, text FROM contracts UNION ALL SELECT 'd', doc_id, text FROM documents)"
@@ -256,12 +250,12 @@ def top_categories(spark, sf_dir):
 
 @query()
 def summary_full(spark, sf_dir):
-    return fo.summarize(fo.merge_findings(graded(spark, sf_dir)).select("doc_id", "seq", "category_id", "severity"), contracts(spark, sf_dir))
+    return fo.summarize(merging.merge_findings(graded(spark, sf_dir), times=2).select("doc_id", "seq", "category_id", "severity"), contracts(spark, sf_dir))
 
 
 @query()
 def dedupe_full(spark, sf_dir):
-    return fo.merge_findings(graded(spark, sf_dir))
+    return merging.merge_findings(graded(spark, sf_dir))
 
 
 @query(f"{_SCORES}, k AS (SELECT *, {d.dedupe_key('category_id', 'quote', "'- ' || category_id")} AS dedupe_key FROM g) SELECT doc_id, seq::INTEGER AS seq, dedupe_key FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, dedupe_key ORDER BY seq) = 1")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlens.operators import findings as fo
-from pactlens.operators import segment, structure, windows
+from pactlens.operators import merging, segment, structure, windows
 from pactlens.plans import catalog
 from pactlens.plans.analyze import analyze
 
@@ -103,7 +103,7 @@ def test_merging(spark):
         finding(1, 0, "the landlord may enter at any time"), finding(2, 0, "the landlord may enter at any time"), finding(3, 0, "landlord may enter at any time without notice", "x"),
         finding(4, 9, "a deposit is kept for ever and a day", "z", "d", "low"),
     ]
-    got = fo.merge_findings(spark.createDataFrame(rows, FINDING)).orderBy("seq").collect()
+    got = merging.merge_findings(spark.createDataFrame(rows, FINDING)).orderBy("seq").collect()
     assert [(r.seq, r.category_id) for r in got] == [(3, "c"), (4, "d")]
 
 
@@ -174,7 +174,7 @@ def test_marks_in_texts(spark):
 
 def test_merging_without_a_paragraph(spark):
     rows = [finding(1, None, "the landlord may enter at any time"), finding(2, 0, "landlord may enter at any time for repairs"), finding(3, None, "landlord may enter at any time without notice"), finding(4, 0, "landlord may enter at any time for repairs and more")]
-    got = fo.merge_findings(spark.createDataFrame(rows, FINDING)).collect()
+    got = merging.merge_findings(spark.createDataFrame(rows, FINDING)).collect()
     assert sorted(r.seq for r in got if r.idx is None) == [1, 3] and len(got) == 3
 
 
