@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import BLANK, match_key, strip, text_of, words
+from pactlens.functions.text import BLANK, let, match_key, strip, text_of, words
 
 #: Fixed values of two columns of a finding.
 CONSEQUENCES = ("Invalid", "Unenforceable", "Void", "Voidable", "Nothing")
@@ -129,30 +129,41 @@ def quotes_intersect(a: Column, b: Column, strict: bool = False) -> Column:
     return (text_of(a) != "") & (text_of(b) != "") & out
 
 
-def json_object(raw: Column) -> Column:
-    """The first brace that a later one closes, up to there; braces within the object's strings don't count. Null if there is none."""
-    text = text_of(raw)
-    nothing = F.lit(None).cast("string")
-
-    def closed(part: Column) -> Column:
-        """The part, which begins with a brace, up to the one that closes it; else null."""
-        begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("string"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
-
-        def step(a: Column, c: Column) -> Column:
-            outside = ~a["string"]
-            depth = a["depth"] + F.when(outside & (c == "{"), 1).when(outside & (c == "}"), -1).otherwise(0)
-            string = F.when((c == '"') & ~a["escaped"], outside).otherwise(a["string"])
-            end = F.when((a["end"] == 0) & (depth == 0), a["n"] + 1).otherwise(a["end"])
-            return F.struct(depth.alias("depth"), string.alias("string"), (a["string"] & (c == "\\") & ~a["escaped"]).alias("escaped"), (a["n"] + 1).alias("n"), end.alias("end"))
+#: What matters to the scan for an object: a backslash with what it escapes (a brace counts even so), quotes and braces.
+_SIGNS = r"(?s)(\\[^{}]|[\"{}])"
 
-        end = F.aggregate(F.split(part, ""), begin, step)["end"]
-        return F.element_at(F.transform(F.array(end), lambda e: F.when(e > 0, F.substring(part, F.lit(1), e))), 1)
 
-    first = closed(F.substring(text, F.locate("{", text), F.length(text)))
-    # only if the first is never closed are the later ones tried
-    braces = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c == "{", i + 1)), lambda i: i.isNotNull())
-    later = F.get(F.array_compact(F.transform(F.slice(braces, 2, F.greatest(F.size(braces), F.lit(1))), lambda i: closed(F.substring(text, i, F.length(text))))), F.lit(0))
-    return F.when(F.locate("{", text) == 0, nothing).otherwise(F.coalesce(first, later))
+def json_object(raw: Column) -> Column:
+    """The first brace that a later one closes, up to there; braces within the object's strings don't count. Null if there is none.
+
+    Whether a brace stands within a string depends, for any object begun before it, on the number of quotes between: so braces after
+    an even and after an odd number of quotes are matched apart, each with a stack of open places, in one pass.
+    """
+
+    def scan(text: Column) -> Column:
+        signs, gaps = F.regexp_extract_all(text, F.lit(_SIGNS), 1), F.transform(F.split(text, _SIGNS, -1), lambda x: F.length(x))
+        none = F.array().cast("array<int>")
+        begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("even_open"), none.alias("odd_open"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+        def step(s: Column, x: Column) -> Column:
+            place = s["at"] + x["gap"] + 1  # counted from 1
+            own = F.when(s["odd"], s["odd_open"]).otherwise(s["even_open"])
+            opens, closes = x["sign"] == "{", (x["sign"] == "}") & (F.size(own) > 0)
+            now = F.when(opens, F.concat(own, F.array(place))).when(closes, F.slice(own, 1, F.size(own) - 1)).otherwise(own)
+            top = F.element_at(own, -1)
+            better = closes & ((s["start"] == 0) | (top < s["start"]))
+            return F.struct(
+                (place + F.length(x["sign"]) - 1).alias("at"), (s["odd"] != (x["sign"] == '"')).alias("odd"),
+                F.when(s["odd"], s["even_open"]).otherwise(now).alias("even_open"), F.when(s["odd"], now).otherwise(s["odd_open"]).alias("odd_open"),
+                F.when(better, top).otherwise(s["start"]).alias("start"), F.when(better, place).otherwise(s["end"]).alias("end"),
+            )
+
+        pairs = F.zip_with(signs, F.slice(gaps, 1, F.size(signs)), lambda a, b: F.struct(a.alias("sign"), b.alias("gap")))
+        found = F.aggregate(pairs, begin, step)
+        return let(found, lambda f: F.when(f["start"] > 0, F.substring(text, f["start"], f["end"] - f["start"] + 1)))
+
+    # quotes before the first brace are in no object's way
+    return let(text_of(raw), lambda t: F.when(t.contains("{"), let(F.substring(t, F.locate("{", t), F.length(t)), scan)))
 
 
 MODEL_SCHEMA = (
@@ -160,6 +171,11 @@ MODEL_SCHEMA = (
     "possible_consequences:string,risk_assessment:struct<severity_of_consequences:string,degree_of_legal_violation:string>,consequences_category:string,risk_category:string,"
     "recommended_revision:struct<revised_clause:string,revision_explanation:string>,suggested_follow_up:string>>>"
 )
+DEFAULT_CATEGORY = "Termination For Convenience"
+#: Longest texts and lists of a finding; fixed values.
+TEXT_LIMITS = {"quote": 2000, "explanation": 1200, "possible_consequences": 800, "revised_clause": 2000, "revision_explanation": 800, "suggested_follow_up": 600}
+LIST_LIMITS = {"reasoning": 3, "legal_references": MAX_REFERENCES}
+SCORES = ("severity_of_consequences", "degree_of_legal_violation")
 
 
 def _score(c: Column) -> Column:
@@ -168,23 +184,54 @@ def _score(c: Column) -> Column:
     return F.when(n.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(3), n)))
 
 
-def parse_findings(raw: Column) -> Column:
-    """An array of findings with coerced fields from a model's answer; null where there is no valid object."""
-    found = F.from_json(json_object(raw), MODEL_SCHEMA)["findings"]
-    clean = F.transform(
-        found,
-        lambda f: F.struct(
-            red_flag(F.coalesce(f["category"], F.lit("Termination For Convenience"))).alias("category"),
-            F.coalesce(F.nullif(f["quote"], F.lit("")), f["evidence"], F.lit("")).alias("quote"),
-            F.coalesce(f["is_unfair"], F.lit(True)).alias("is_unfair"),
-            text_of(f["explanation"]).alias("explanation"),
-            F.coalesce(f["legal_references"], F.array().cast("array<string>")).alias("legal_references"),
-            _score(f["risk_assessment"]["severity_of_consequences"]).alias("severity_of_consequences"),
-            _score(f["risk_assessment"]["degree_of_legal_violation"]).alias("degree_of_legal_violation"),
-            consequence(f["consequences_category"]).alias("consequences_category"),
-            risk(f["risk_category"]).alias("risk_category"),
-        ),
+def _clean(f: Column) -> Column:
+    """A finding of an answer with its fields coerced and none nested."""
+    strings = F.array().cast("array<string>")
+    texts = {c: f[c] for c in ("explanation", "possible_consequences", "suggested_follow_up")} | {c: f["recommended_revision"][c] for c in ("revised_clause", "revision_explanation")}
+    return F.struct(
+        red_flag(F.coalesce(f["category"], F.lit(DEFAULT_CATEGORY))).alias("category"),
+        F.coalesce(F.nullif(f["quote"], F.lit("")), f["evidence"], F.lit("")).alias("quote"),
+        F.coalesce(f["is_unfair"], F.lit(True)).alias("is_unfair"),
+        *[text_of(c).alias(n) for n, c in texts.items()],
+        *[F.coalesce(f[c], strings).alias(c) for c in LIST_LIMITS],
+        *[_score(f["risk_assessment"][c]).alias(c) for c in SCORES],
+        consequence(f["consequences_category"]).alias("consequences_category"),
+        risk(f["risk_category"]).alias("risk_category"),
     )
-    within = lambda f: (F.length(f["quote"]) <= 2000) & (F.length(f["explanation"]) <= 1200) & (F.size(f["legal_references"]) <= MAX_REFERENCES)
-    return F.filter(clean, within)
 
+
+def _faults(f: Column, clean: Column) -> Column:
+    """array<struct(field, reason, repaired)>: what keeps a finding from being taken as it is. Repaired faults are mended, others make
+    the finding leave."""
+    fault = lambda bad, field, reason, repaired: F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"), F.lit(repaired).alias("repaired")))
+    whole = lambda c: c.rlike(r"^\s*[+-]?[0-9]+(?:\.0*)?\s*$") & c.try_cast("double").between(0, 3)
+    found = [fault(f["category"].isNull(), "category", "missing", True)]
+    found += [fault(f["risk_assessment"][c].isNotNull() & ~F.coalesce(whole(f["risk_assessment"][c]), F.lit(False)), c, "no whole number from 0 to 3", True) for c in SCORES]
+    found += [fault(F.length(clean[c]) > n, c, f"longer than {n}", False) for c, n in TEXT_LIMITS.items()]
+    found += [fault(F.size(clean[c]) > n, c, f"more than {n}", False) for c, n in LIST_LIMITS.items()]
+    return F.array_compact(F.array(*found))
+
+
+def checked_findings(raw: Column) -> Column:
+    """array<struct(n, finding, faults)> of a model's answer, from one parse: n from 0; null where there is no valid object."""
+    told = lambda f, i: let(_clean(f), lambda c: F.struct(i.alias("n"), c.alias("finding"), _faults(f, c).alias("faults")))
+    return F.transform(F.from_json(json_object(raw), MODEL_SCHEMA)["findings"], told)
+
+
+def _kept(x: Column) -> Column:
+    return ~F.exists(x["faults"], lambda e: ~e["repaired"])
+
+
+def parse_findings(raw: Column) -> Column:
+    """An array of findings with coerced fields from a model's answer; null where there is no valid object. Those over a limit leave."""
+    return F.transform(F.filter(checked_findings(raw), _kept), lambda x: x["finding"])
+
+
+def answer_path(checked: Column) -> Column:
+    """How an answer was taken: strict (as it is), salvaged (something was mended or left out), or none (no object)."""
+    return F.when(checked.isNull(), "none").when(F.exists(checked, lambda x: F.size(x["faults"]) > 0), "salvaged").otherwise("strict")
+
+
+def rejects(checked: Column) -> Column:
+    """array<struct(n, field, reason, repaired)>: every fault of every finding of checked_findings()."""
+    return F.flatten(F.transform(checked, lambda x: F.transform(x["faults"], lambda e: F.struct(x["n"].alias("n"), e["field"].alias("field"), e["reason"].alias("reason"), e["repaired"].alias("repaired")))))
