@@ -95,22 +95,19 @@ def test_quotes_intersect(spark):
     assert [(r.l, r.s) for r in got] == [(x, y) for *_, x, y in pairs]
 
 
+def fitted(part, at, width):
+    """Lines of a text without line feeds: all of it if it fits, else up to the last blank that leaves something, else a full line."""
+    if len(part) <= width:
+        return [(part, at, at + len(part))]
+    cut = max(part[:width].rfind(" "), 0) or width
+    return [(part[:cut], at, at + cut), *fitted(part[cut:], at + cut, width)]
+
+
 def wrapped(text, width):
-    out, start = [], 0
-    i = 0
-    while i < len(text):
-        if text[i] == "\n":
-            out.append((text[start:i], start, i))
-            i += 1
-            start = i
-        elif i - start >= width:
-            cut = text.rfind(" ", start, i)
-            cut = i if cut <= start else cut
-            out.append((text[start:cut], start, cut))
-            start = i = cut
-        else:
-            i += 1
-    return out + ([(text[start:], start, len(text))] if start < len(text) else [])
+    parts = text.split("\n")
+    ends = [sum(len(p) + 1 for p in parts[:k]) for k in range(len(parts))]
+    lines = [x for p, at in zip(parts, ends) for x in fitted(p, at, width)]
+    return lines if parts[-1] else lines[:-1]  # nothing follows the last line feed
 
 
 def test_wrap(spark):

@@ -3,12 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pactlens.operators import findings as fo
 from pactlens.operators import merging, segment, structure, windows
-from pactlens.plans import catalog
+from pactlens.plans import catalog, models, pages  # noqa: F401  models and pages register their queries
 from pactlens.plans.analyze import analyze
 
 SF = "/root/testdata/sf0.001"
@@ -40,23 +41,14 @@ def test_windows_equal_a_walk(spark):
     for r in windows.plan_windows(rows, 300, 100, None).collect():
         got.setdefault(r.doc_id, []).append((r.start_pos, r.end_pos))
     for d, doc in enumerate(docs):
-        starts, want = [0], []
-        while True:
-            i, need = starts[-1], 100
-            while i < len(doc) and need > 0:
-                need -= doc[i]
-                i += 1
-            if i >= len(doc):
-                break
-            starts.append(i)
-        for s in starts:
-            e, t = s, 0
-            while e < len(doc) and t < 300:
-                t += doc[e]
-                e += 1
-            if not want or e > want[-1][1]:
-                want.append((s, e))
-        assert sorted(got[d]) == want
+        upto = np.concatenate([[0], np.cumsum(doc)])
+        reach = lambda at, need, upto=upto: int(np.searchsorted(upto, upto[at] + need))  # the first place with so many tokens between
+        starts = [0]
+        while reach(starts[-1], 100) < len(doc):
+            starts.append(reach(starts[-1], 100))
+        ends = np.minimum([reach(s, 300) for s in starts], len(doc))
+        later = np.concatenate([[True], ends[1:] > np.maximum.accumulate(ends)[:-1]])
+        assert sorted(got[d]) == [(s, int(e)) for s, e, keep in zip(starts, ends, later) if keep]
 
 
 def test_garbage_runs(spark):
@@ -148,7 +140,7 @@ def test_analysis(spark):
     assert {r.category_id for r in out.findings.collect()} == {"rent_fees_prohibited_payments", "termination_for_convenience"}
 
 
-FAST = ["category_slug", "category_resolve", "job_current_state", "json_extract_findings", "heading_parse", "section_path", "window_plan", "line_segmentation", "quote_locate_exact", "risk_summary"]
+FAST = ["category_slug", "category_resolve", "job_current_state", "json_extract_findings", "heading_parse", "section_path", "window_plan", "line_segmentation", "quote_locate_exact", "risk_summary", "layout_blocks", "page_merge", "json_rejects", "answer_paths", "classifier_calls", "classifier_tally", "classifier_two_stage", "best_of_attempts"]
 
 
 @pytest.mark.parametrize("name", FAST)
