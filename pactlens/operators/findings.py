@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions.findings import MAX_REFERENCES, dedupe_key, severity, valid_references
-from pactlens.functions.text import BLANK, match_key, slug, squeeze, strip, text_of, words
+from pactlens.functions.text import BLANK, let, match_key, slug, squeeze, strip, text_of, words
 
 
 @dataclass(frozen=True)
@@ -121,34 +121,61 @@ def locate(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
     Tier 1 is the quote as it stands; 2 its key in the paragraph's key (more than 20 characters), with the paragraph's own wording if
     the first and last five or three words frame half the length; 3 and 4 the quote or its key over paragraph borders; 6 its first
-    seven words, framed by five and five to 60 %. The lowest tier wins, then the first paragraph. Quotes found nowhere leave.
+    seven words, framed by five and five to 60 %. The lowest tier wins, then the first paragraph. Quotes found nowhere leave, null and
+    empty ones too.
+
+    A document's paragraphs and its quotes are brought together in one row, once, so memory is linear in the document; a tier is only
+    looked at for quotes that those before it left.
     """
     key = match_key(F.col("quote"))
-    q = quotes.withColumn("key", key).withColumn("kw", words(F.col("key")))
-    p = paragraphs.select("doc_id", F.col("idx"), F.col("text").alias("para"), match_key(F.col("text")).alias("pkey"))
-    near = q.join(p, "doc_id").filter((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
-    exact = F.instr("para", F.col("quote")) > 0
-    keyed = (F.length("key") > 20) & (F.instr("pkey", F.col("key")) > 0)
-    five, three = _between(F.col("para"), F.col("kw"), 5), _between(F.col("para"), F.col("kw"), 3)
-    half = lambda c, share: F.when(F.length(c) >= F.length("quote") * share, c)
-    phrase = (F.length("key") > 30) & (F.size("kw") >= 5) & (F.instr("pkey", F.array_join(F.slice("kw", 1, 7), " ")) > 0)
-    tier = F.when(exact, 1).when(keyed, 2).when(phrase & half(five, 0.6).isNotNull(), 6)
-    evidence = F.when(exact, F.col("quote")).when(keyed, F.coalesce(half(five, 0.5), half(three, 0.5), F.col("quote"))).otherwise(half(five, 0.6))
-    single = near.withColumn("tier", tier).withColumn("evidence", evidence).filter("quote <> '' AND tier IS NOT NULL")
-
-    order = Window.partitionBy("doc_id", "quote_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("doc_id", "quote_id")
-    ends = near.withColumn("from_raw", F.coalesce(F.sum(F.length("para") + 2).over(order), F.lit(0))).withColumn("from_key", F.coalesce(F.sum(F.length("pkey") + 1).over(order), F.lit(0)))
-    ends = ends.withColumn("all", F.sort_array(F.collect_list(F.struct("idx", "para", "pkey")).over(whole)))
-    raw_at = F.instr(F.array_join(F.transform("all", lambda x: x["para"]), "\n\n"), F.col("quote")) - 1
-    key_at = F.instr(F.array_join(F.transform("all", lambda x: x["pkey"]), " "), F.col("key")) - 1
-    in_raw = (raw_at >= F.col("from_raw")) & (raw_at < F.col("from_raw") + F.length("para"))
-    in_key = (F.col("key") != "") & (key_at >= F.col("from_key")) & (key_at < F.col("from_key") + F.length("pkey"))
-    across = ends.withColumn("tier", F.when(in_raw, 3).when(in_key, 4)).withColumn("evidence", F.col("quote")).filter("quote <> '' AND tier IS NOT NULL")
-    columns = ["doc_id", "quote_id", "tier", "idx", "evidence"]
-    found = single.select(*columns).unionByName(across.select(*columns))
-    best = found.groupBy("doc_id", "quote_id").agg(F.min(F.struct("tier", "idx", "evidence")).alias("b"))
-    return best.select("doc_id", "quote_id", F.col("b.tier").alias("tier"), F.col("b.idx").alias("idx"), F.col("b.evidence").alias("evidence"))
+    asked = quotes.filter("quote <> ''").select("doc_id", F.struct("quote_id", "quote", "lo", "hi", key.alias("key"), words(key).alias("kw")).alias("q"))
+    asked = asked.groupBy("doc_id").agg(F.collect_list("q").alias("q"))
+    text = text_of(F.col("text"))
+    held = paragraphs.join(asked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", text.alias("text"), match_key(text).alias("key")))).alias("p"))
+    return asked.join(held, "doc_id").select("doc_id", F.inline(F.filter(F.transform("q", lambda q: _place(q, F.col("p"))), lambda r: r["tier"].isNotNull())))
+
+
+def _place(q: Column, paragraphs: Column) -> Column:
+    """struct(quote_id, tier, idx, evidence) of one quote in its part of a document."""
+    kw = q["kw"]
+    first = lambda here, test: F.array_position(F.transform(here, test), True).cast("int")
+    told = lambda tier, idx, evidence: F.struct(q["quote_id"].alias("quote_id"), F.lit(tier).alias("tier"), idx.alias("idx"), evidence.alias("evidence"))
+    none = F.struct(q["quote_id"].alias("quote_id"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("evidence"))
+    framed = lambda p, n, share: let(_between(p["text"], kw, n), lambda c: F.when(F.length(c) >= F.length(q["quote"]) * share, c))
+    opening = F.array_join(F.slice(kw, 1, 7), " ")
+
+    def across(here: Column, field: str, between: str, what: Column, tier: int, other: Column) -> Column:
+        whole = F.array_join(F.transform(here, lambda p: p[field]), between)
+        at = lambda n: let(_owner(here, field, len(between), n - 1), lambda i: F.when(i.isNotNull(), told(tier, i, q["quote"])).otherwise(other))
+        return let(F.when(what == "", 0).otherwise(F.instr(whole, what)), lambda n: F.when(n > 0, at(n)).otherwise(other))
+
+    def begun(here: Column) -> Column:
+        test = lambda p: p["key"].contains(opening) & framed(p, 5, 0.6).isNotNull()
+        found = lambda i: F.when(i > 0, let(F.get(here, i - 1), lambda p: told(6, p["idx"], framed(p, 5, 0.6)))).otherwise(none)
+        return F.when((F.length(q["key"]) > 30) & (F.size(kw) >= 5), let(first(here, test), found)).otherwise(none)
+
+    def keyed(here: Column) -> Column:
+        evidence = lambda p: F.coalesce(framed(p, 5, 0.5), framed(p, 3, 0.5), q["quote"])
+        rest = across(here, "text", "\n\n", q["quote"], 3, across(here, "key", " ", q["key"], 4, begun(here)))
+        at = F.when(F.length(q["key"]) > 20, first(here, lambda p: p["key"].contains(q["key"]))).otherwise(0)
+        return let(at, lambda i: F.when(i > 0, let(F.get(here, i - 1), lambda p: told(2, p["idx"], evidence(p)))).otherwise(rest))
+
+    def exact(here: Column) -> Column:
+        at = first(here, lambda p: p["text"].contains(q["quote"]))
+        return let(at, lambda i: F.when(i > 0, told(1, F.get(here, i - 1)["idx"], q["quote"])).otherwise(keyed(here)))
+
+    return let(F.filter(paragraphs, lambda p: (p["idx"] >= q["lo"]) & (p["idx"] < q["hi"])), exact)
+
+
+def _owner(here: Column, field: str, gap: int, place: Column) -> Column:
+    """idx of the paragraph that a place (from 0) in the joined texts falls into; null for a place between two."""
+    begin = F.struct(F.lit(0).alias("from"), F.lit(None).cast("int").alias("idx"))
+
+    def step(s: Column, p: Column) -> Column:
+        end = s["from"] + F.length(p[field])
+        return F.struct((end + gap).alias("from"), F.when((place >= s["from"]) & (place < end), p["idx"]).otherwise(s["idx"]).alias("idx"))
+
+    return F.aggregate(here, begin, step, lambda s: s["idx"])
 
 
 def dedupe_exact(findings: DataFrame, order: str = "seq") -> DataFrame:

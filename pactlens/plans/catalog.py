@@ -281,16 +281,41 @@ def quotes_intersect_pairs(spark, sf_dir):
 _QUOTES = [(1, "The goods consist of the following:"), (2, "the  GOODS consist of\tthe following:"), (3, "- spare parts; and\n\n(3) manuals for each"), (4, "The Supplier sells nothing at all"), (5, "the supplier MAY terminate this agreement at any time for convenience")]
 
 
-def located(spark, sf_dir) -> DataFrame:
+#: Two more for the cascade: in other case over a line's end, and with a word that is not there.
+_ALL_TIERS = [*_QUOTES, (6, "under this Agreement, that are in STOCK - spare"), (7, "The courts decide under the Housing Act of 1988 and common law on penalties")]
+
+
+def located(spark, sf_dir, asked=tuple(_QUOTES)) -> DataFrame:
     docs = contracts(spark, sf_dir).select("doc_id")
-    quotes = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("quote_id"), F.lit(q).alias("quote")) for i, q in _QUOTES])))
+    quotes = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("quote_id"), F.lit(q).alias("quote")) for i, q in asked])))
     paragraphs = contract_lines(spark, sf_dir).withColumn("text", tx.normalize(F.col("text")))
     return fo.locate(quotes.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(1 << 20)), paragraphs)
 
 
-@query()
+def _framed_sql(n: int) -> str:
+    """What runs from the quote's first n words to its last n in t, null if they are not there."""
+    first, last = f"array_to_string(kw[1:{n}], ' ')", f"array_to_string(kw[greatest(len(kw) - {n - 1}, 1):], ' ')"
+    begin = f"instr(lower(t), {first})"
+    end = f"instr(substr(lower(t), {begin}), {last})"
+    return f"CASE WHEN len(kw) >= {n} AND {begin} > 0 AND {end} > 1 THEN {d.strip(f'substr(t, {begin}, {end} - 1 + length({last}))')} END"
+
+
+_CASCADE = f"""WITH {d.RAW}, q(quote_id, quote) AS (VALUES {', '.join(f"({i}, {d.lit(q)})" for i, q in _ALL_TIERS)}), keyed AS (SELECT *, {d.words('key')} AS kw FROM (SELECT *, {d.match_key('quote')} AS key FROM q)),
+  p AS (SELECT doc_id, idx, {d.normalize('text')} AS t, {d.match_key('text')} AS k FROM raw_lines),
+  placed AS (SELECT *, sum(length(t) + 2) OVER w - length(t) - 2 AS from_t, sum(length(k) + 1) OVER w - length(k) - 1 AS from_k FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+  whole AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY idx) AS tt, string_agg(k, ' ' ORDER BY idx) AS kk FROM p GROUP BY doc_id),
+  framed AS (SELECT *, {_framed_sql(5)} AS five, {_framed_sql(3)} AS three, instr(tt, quote) - 1 AS at_t, instr(kk, key) - 1 AS at_k FROM placed JOIN whole USING (doc_id), keyed),
+  hits AS (SELECT doc_id, quote_id, 1 AS tier, idx, quote AS evidence FROM framed WHERE contains(t, quote)
+    UNION ALL SELECT doc_id, quote_id, 2, idx, CASE WHEN length(five) >= length(quote) * 0.5 THEN five WHEN length(three) >= length(quote) * 0.5 THEN three ELSE quote END FROM framed WHERE length(key) > 20 AND contains(k, key)
+    UNION ALL SELECT doc_id, quote_id, 3, idx, quote FROM framed WHERE at_t >= from_t AND at_t < from_t + length(t)
+    UNION ALL SELECT doc_id, quote_id, 4, idx, quote FROM framed WHERE at_k >= from_k AND at_k < from_k + length(k)
+    UNION ALL SELECT doc_id, quote_id, 6, idx, five FROM framed WHERE length(key) > 30 AND len(kw) >= 5 AND contains(k, array_to_string(kw[1:7], ' ')) AND length(five) >= length(quote) * 0.6)
+  SELECT doc_id, quote_id::INTEGER AS quote_id, arg_min(tier, (tier, idx))::INTEGER AS tier, arg_min(idx, (tier, idx))::INTEGER AS idx, arg_min(evidence, (tier, idx)) AS evidence FROM hits GROUP BY doc_id, quote_id"""
+
+
+@query(_CASCADE)
 def quote_locate_cascade(spark, sf_dir):
-    return located(spark, sf_dir)
+    return located(spark, sf_dir, _ALL_TIERS)
 
 
 _EXACT = f"""WITH {d.LINES}, q(quote_id, quote) AS (VALUES {', '.join(f"({i}, {d.lit(q)})" for i, q in _QUOTES if i in (1, 4))})
