@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
+
 #: Status that each kind of event sets.
 STATUS = {"signup": "queued", "view": "running", "click": "running", "purchase": "done"}
 TTL_HOURS, CALL_SECONDS, CONCURRENCY = 24, 90, 12
@@ -47,6 +54,48 @@ def stream_state(spark: SparkSession, path: str, schema: StructType, delay: str
     return current_state(job_log(events))
 
 
+def stream_expiry(log: DataFrame, hours: int = TTL_HOURS, delay: str = "0 seconds") -> DataFrame:
+    """job_id and updated_at of each job, once it has not been updated for `hours` before the latest event (less `delay`), from a stream
+    of log rows (job_id, ts); run it in append mode.
+
+    A job's state is its latest time and a timer; the state leaves as the timer goes off. Events that come later than the delay allows
+    count no more; one of a job that has expired, but in time, begins it anew.
+    """
+    kept = log.select("job_id", "ts").withWatermark("ts", delay)
+    kind = log.schema["job_id"].dataType.simpleString()
+    life = hours * 3_600_000
+
+    def track(key, batches, state):
+        if state.hasTimedOut:
+            (latest,) = state.get
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "updated_at": [pd.Timestamp(latest, unit="us")]})
+            return
+        latest = max([state.get[0]] if state.exists else [], default=None)
+        for rows in batches:
+            last = int(rows["ts"].max().value // 1000)
+            latest = last if latest is None else max(latest, last)
+        state.update((latest,))
+        # the timer is no earlier than the watermark allows; a job already past its time goes off with the next batch
+        state.setTimeoutTimestamp(max(latest // 1000 + life, state.getCurrentWatermarkMs() + 1))
+
+    return kept.groupBy("job_id").applyInPandasWithState(track, f"job_id {kind}, updated_at timestamp", "latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_tagged(spark: SparkSession, job_id: str, action: Callable[[], T]) -> T:
+    """action() with its Spark jobs under the job's tag, so that cancel() finds them."""
+    spark.addTag(f"job-{job_id}")
+    try:
+        return action()
+    finally:
+        spark.removeTag(f"job-{job_id}")
+
+
+def cancel(spark: SparkSession, job_id: str) -> None:
+    """Stop what runs under the job's tag; the action then fails with a cancellation."""
+    spark.interruptTag(f"job-{job_id}")
+
+
 def stream_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as they arrive: path and text."""
     files = spark.readStream.format("text").option("wholetext", True).load(path)
