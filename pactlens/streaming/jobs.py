@@ -84,16 +84,16 @@ def stream_expiry(log: DataFrame, hours: int = TTL_HOURS, delay: str = "0 second
 
 def run_tagged(spark: SparkSession, job_id: str, action: Callable[[], T]) -> T:
     """action() with its Spark jobs under the job's tag, so that cancel() finds them."""
-    spark.addTag(f"job-{job_id}")
+    spark.sparkContext.addJobTag(f"job-{job_id}")
     try:
         return action()
     finally:
-        spark.removeTag(f"job-{job_id}")
+        spark.sparkContext.removeJobTag(f"job-{job_id}")
 
 
 def cancel(spark: SparkSession, job_id: str) -> None:
     """Stop what runs under the job's tag; the action then fails with a cancellation."""
-    spark.interruptTag(f"job-{job_id}")
+    spark.sparkContext.cancelJobsWithTag(f"job-{job_id}")
 
 
 def stream_texts(spark: SparkSession, path: str) -> DataFrame:
