@@ -22,6 +22,8 @@ MIN_GUESSES = 10.0
 MIN_VALUE = 8
 #: Longest unit of a repeat, and the least length of a keyboard walk.
 MAX_UNIT, MIN_WALK = 64, 4
+#: Units of a value whose cost is remembered at once.
+MAX_UNITS = 20_000
 #: What each part after the first costs for its place in the split.
 NEXT_PART = 0.3
 BASE = {
@@ -103,8 +105,9 @@ def word_cost(own: str, low: str, plain: str, ranks: dict[str, int]) -> float:
     return math.log10(r + 1) + math.log10(2) * (own != low and own.upper() != own) + 0.3 * (own != low) + 0.3 * (plain != low)
 
 
-def repeat_cost(unit: str, times: int) -> float:
-    return brute(unit) + math.log10(times)
+def repeat_cost(unit: float, times: int) -> float:
+    """Of a unit that is repeated, from what its own cheapest split takes."""
+    return unit + math.log10(times)
 
 
 def walk_cost(size: int) -> float:
@@ -114,15 +117,16 @@ def walk_cost(size: int) -> float:
 DATE_COST = math.log10(365 * 120)
 
 
-def guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+def guesses(value: str, ranks: dict[str, int], limit: float = math.inf, units: dict[str, float] | None = None) -> float:
     """log10 of the guesses that the cheapest split takes, or `limit` if it takes more.
 
     best[j] is the cost of the first j characters. A last part that ends at j is a word, a date, a repeat of a unit, a keyboard walk or
     a brute-force run over the classes that it has. Words, dates and units are bounded in length. For walks, and for runs over each set
     of classes, only the cheapest beginning is remembered, since all grow by the same amount. For repeats of a unit, beginnings that
-    can't become the cheapest any more are dropped. So time grows with the length of the value alone, as far as best stays below the limit.
+    can't become the cheapest any more are dropped; a unit is priced by its own cheapest split, which `units` remembers. So time grows with the length of the value alone, as far as best stays below the limit.
     """
     n = len(value)
+    units = {} if units is None else units
     low = value.lower()
     plain = low.translate(LEET)
     near = neighbours()
@@ -135,7 +139,6 @@ def guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float
     runs = [math.inf] * len(ALPHABET)  # cheapest beginning of a run over each set of classes, less what its length costs
     walk = math.inf  # the same for a walk
     steps = 0  # neighbouring pairs up to here
-    last = [[-1] * len(CLASSES)]  # for each place where each class stood last before it
     same = [0] * (MAX_UNIT + 1)  # how many characters up to here equal the one a unit before
     begun: dict[tuple[int, int], list[tuple[int, float]]] = {}  # (unit's length, place modulo it): beginnings and their costs
     alive = 0
@@ -144,7 +147,6 @@ def guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float
         i = j - 1
         start = best[i] + (NEXT_PART if i else 0.0)
         kind = class_of(value[i])
-        last.append([i if kind >> c & 1 else x for c, x in enumerate(last[-1])])
         least = math.inf
         for s in range(1, len(ALPHABET)):
             if s & kind:
@@ -171,8 +173,7 @@ def guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float
                 continue
             same[u] += 1
             if same[u] >= u:
-                unit = u * ALPHABET[sum(1 << c for c, x in enumerate(last[j - u]) if x >= j - 2 * u)]  # brute() of the unit before the last
-                least = min(least, _repeated(best, j, u, same[u], unit, limit, begun))
+                least = min(least, _repeated(best, j, u, same[u], _unit(value[j - 2 * u : j - u], ranks, units), limit, begun))
         best[j] = least if least < limit else math.inf
         if best[j] < math.inf:
             alive = j
@@ -181,6 +182,15 @@ def guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float
     return min(best[n], limit)
 
 
+def _unit(unit: str, ranks: dict[str, int], units: dict[str, float]) -> float:
+    cost = units.get(unit)
+    if cost is None:
+        if len(units) >= MAX_UNITS:  # begin anew; results don't depend on it
+            units.clear()
+        cost = units[unit] = guesses(unit, ranks, units=units)
+    return cost
+
+
 def _repeated(best: list[float], j: int, u: int, same: int, unit: float, limit: float, begun: dict[tuple[int, int], list[tuple[int, float]]]) -> float:
     """The least cost of a split whose last part repeats a unit of u characters, itself of cost `unit`, up to j. same: u more than that many repeat.
 

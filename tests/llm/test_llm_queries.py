@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import public_tokenizers as P
 import pytest
@@ -99,6 +100,7 @@ def test_guesses_equal_the_plain_program():
     """All beginnings of a last part tried, for each end."""
     s, ranks, rng = secret_scan, secret_scan.word_ranks(P.path("byte_bpe_50k.json")), random.Random(2)
 
+    @lru_cache(maxsize=None)
     def plain(value):
         n, low = len(value), value.lower()
         signs, near = low.translate(s.LEET), s.neighbours()
@@ -110,7 +112,8 @@ def test_guesses_equal_the_plain_program():
                 costs = [s.brute(value[a:e])]
                 if z > 2:
                     costs.append(s.word_cost(value[a:e], part, signs[a:e], ranks))
-                costs += [s.repeat_cost(value[a : a + u], z // u) for u in range(1, min(s.MAX_UNIT, z // 2) + 1) if z % u == 0 and part == part[:u] * (z // u)]
+                units = [u for u in range(1, min(s.MAX_UNIT, z // 2) + 1) if z % u == 0 and part == part[:u] * (z // u)]
+                costs += [plain(value[a : a + u]) + math.log10(z // u) for u in units]
                 if z >= s.MIN_WALK and all(part[i : i + 2] in near for i in range(z - 1)):
                     costs.append(s.walk_cost(z))
                 if (a, e) in dates:
@@ -128,7 +131,10 @@ def test_guesses_equal_the_plain_program():
         want = plain(v)
         assert abs(s.guesses(v, ranks) - want) < 1e-9 and abs(s.guesses(v, ranks, 10.0) - min(want, 10)) < 1e-9
     assert s.guesses("z" * 256, ranks) < 4 and s.guesses("Zq" * 130, ranks) < 6 and s.guesses("kx7qz" * 3, ranks) < 8.3
-    assert s.spans_of("login: " + "z" * 256, ranks) == []
+    assert s.guesses("password" * 8, ranks) < 6
+    for value in ("z" * 256, "password" * 8, "summer2019" * 4, "correcthorse" * 3):  # easy units stay easy
+        assert s.spans_of("login: " + value, ranks) == []
+    assert s.spans_of("login: Xq7/vT2+kP" + "z" * 8, ranks) != []
     assert s.guesses("".join(rng.choices("abcXYZ019+/", k=100_000)), ranks, 10.0) == 10
 
 
