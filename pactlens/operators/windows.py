@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions.headings import is_contact, is_top_heading
-from pactlens.functions.text import strip, token_estimate, trigger_edges
+from pactlens.functions.text import let, strip, token_estimate, trigger_edges
 
 WINDOW_TOKENS, STRIDE_TOKENS, MAX_CHARS, PER_PARAGRAPH = 1100, 300, 60_000, 40
 
@@ -35,31 +35,54 @@ def plan_windows(bodies: DataFrame, window: int = WINDOW_TOKENS, stride: int = S
     A window runs from a start to the first place where it holds `window` tokens, or to the section's end. One that lies inside the
     kept one before it leaves; ends never fall, so that is one whose end is no later. With a fraction, a window whose text has an
     exception trigger near an edge grows by about a stride on that side.
+
+    Sums run over the exchange that also gathers a section; windows are planned within its array, so no text is copied for a start,
+    and texts are gathered only where triggers are looked for.
     """
-    per = bodies.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("b", "tokens", "idx", "text"))).alias("p"))
-    tokens = F.transform("p", lambda x: x["tokens"])
-    sums = F.aggregate(tokens, F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
-    per = per.withColumn("sums", sums).withColumn("n", F.size("p"))
-    starts = per.select("*", F.posexplode(starts_of(tokens, stride)).alias("k", "s"))
-
-    def reach(from_: Column, need: int) -> Column:
-        """First place after from_ with `need` tokens between, or the end."""
-        hit = F.array_position(F.transform(F.slice("sums", from_ + 1, F.col("n") + 1), lambda x: x - F.get("sums", from_) >= need), True)
-        return F.when(hit == 0, F.col("n")).otherwise((from_ + hit - 1).cast("int"))
-
-    ends = starts.withColumn("e", F.greatest(reach(F.col("s"), window), F.least(F.col("n"), F.col("s") + 1)))
-    before = F.lag("e").over(Window.partitionBy("doc_id", "section").orderBy("k"))
-    kept = ends.filter("n > 0").withColumn("prev", before).filter("prev IS NULL OR e > prev")
-    joined = F.array_join(F.transform(F.slice("p", F.col("s") + 1, F.col("e") - F.col("s")), lambda x: x["text"]), "\n\n")
-    first, last = F.lit(False), F.lit(False)
-    if fraction is not None:
-        kept = kept.withColumn("edges", trigger_edges(joined, fraction))
-        first, last = F.col("edges.near_start"), F.col("edges.near_end")
-    back = F.filter(F.transform(F.sequence(F.lit(0), F.col("s")), lambda i: F.when(F.get("sums", F.col("s")) - F.get("sums", i) >= stride, i)), lambda i: i.isNotNull())
-    left = F.when(first & (F.col("s") > 0), F.coalesce(F.array_max(back), F.lit(0))).otherwise(F.col("s"))
-    right = F.when(last & (F.col("e") < F.col("n")), reach(F.col("e"), stride)).otherwise(F.col("e"))
-    name = F.format_string("w_%04d_%04d", F.get("p", F.col("s"))["idx"], F.get("p", F.col("e") - 1)["idx"])
-    return kept.select("doc_id", "section", name.alias("window_id"), left.cast("int").alias("start_pos"), right.cast("int").alias("end_pos"), F.col("s").alias("main_start"), F.col("e").alias("main_end"))
+    part = Window.partitionBy("doc_id", "section").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    row = ["b", "tokens", F.sum("tokens").over(part).alias("upto"), "idx", *(["text"] if fraction is not None else [])]
+    rows = bodies.select("doc_id", "section", F.struct(*row).alias("x"))
+    per = rows.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list("x")).alias("p"))
+    p, n = F.col("p"), F.size("p")
+
+    def planned(sums: Column) -> Column:
+        reach = lambda at, need: first_from(sums, at, n, F.get(sums, at) + need)
+        starts = starts_of(F.transform(p, lambda x: x["tokens"]), stride)
+        ends = F.transform(starts, lambda s: F.struct(s.alias("s"), F.greatest(reach(s, window), F.least(n, s + 1)).alias("e")))
+
+        def grown(w: Column, edges: Column | None) -> Column:
+            s, e = w["s"], w["e"]
+            left, right = s, e
+            if edges is not None:
+                back = F.greatest(first_from(sums, F.lit(0), n, F.get(sums, s) - stride + 1) - 1, F.lit(0))
+                left = F.when(edges["near_start"] & (s > 0), back).otherwise(s)
+                right = F.when(edges["near_end"] & (e < n), reach(e, stride)).otherwise(e)
+            name = F.format_string("w_%04d_%04d", F.get(p, s)["idx"], F.get(p, e - 1)["idx"])
+            return F.struct(name.alias("window_id"), left.alias("start_pos"), right.alias("end_pos"), s.alias("main_start"), e.alias("main_end"))
+
+        def told(w: Column) -> Column:
+            if fraction is None:
+                return grown(w, None)
+            text = F.array_join(F.transform(F.slice(p, w["s"] + 1, w["e"] - w["s"]), lambda x: x["text"]), "\n\n")
+            return let(let(text, lambda t: trigger_edges(t, fraction)), lambda edges: grown(w, edges))
+
+        return let(ends, lambda every: F.transform(F.filter(every, lambda w, i: (i == 0) | (w["e"] > F.get(every, i - 1)["e"])), told))
+
+    sums = F.concat(F.array(F.lit(0).cast("long")), F.transform(p, lambda x: x["upto"]))
+    return per.select("doc_id", "section", F.inline(let(sums, planned)))
+
+
+def first_from(sums: Column, lo: Column, hi: Column, least: Column) -> Column:
+    """First place from lo on, by halving, where ascending sums are at least `least`; hi if there is none before it."""
+    begin = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), least.cast("long").alias("least"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        there = F.get(sums, mid) >= s["least"]
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & ~there, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & there, mid).otherwise(s["hi"]).alias("hi"), s["least"].alias("least"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), begin, halve, lambda s: s["lo"])
 
 
 def members(windows: DataFrame, bodies: DataFrame) -> DataFrame:
