@@ -93,6 +93,17 @@ def valid_references(refs: Column) -> Column:
     return F.filter(F.coalesce(refs, F.array().cast("array<string>")), is_valid_reference)
 
 
+def invalid_references(refs: Column) -> Column:
+    """Those that are not valid, in their order, repeats and all; null ones leave."""
+    return F.filter(F.coalesce(refs, F.array().cast("array<string>")), lambda r: ~is_valid_reference(r) & r.isNotNull())
+
+
+def what_is_wrong(reasoning: Column, explanation: Column) -> Column:
+    """A line with a dash for each reason, else the explanation."""
+    lines = F.array_join(F.transform(F.coalesce(reasoning, F.array().cast("array<string>")), lambda r: F.concat(F.lit("- "), text_of(r))), "\n")
+    return F.coalesce(F.nullif(lines, F.lit("")), text_of(explanation))
+
+
 def reference_policy(refs: Column, skip_if_none: bool = False) -> Column:
     """struct(references, action): keep the valid ones; if none of some is valid, skip the finding or ask for new ones."""
     valid = F.slice(valid_references(refs), 1, MAX_REFERENCES)

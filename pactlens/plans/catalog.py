@@ -164,21 +164,30 @@ def garbage_filter(spark, sf_dir):
     return structure.drop_garbage(contract_lines(spark, sf_dir)).select("doc_id", "idx", "text")
 
 
-def doc_bodies(spark, sf_dir) -> DataFrame:
-    """Every line of documents as a paragraph of one section."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(tx.text_of(F.col("text")), "\n")).alias("idx", "text"))
+def one_section(docs: DataFrame) -> DataFrame:
+    """Every line of the texts as a paragraph of one section."""
+    lines = docs.select("doc_id", F.posexplode(F.split(tx.text_of(F.col("text")), "\n")).alias("idx", "text"))
     return windows.body(lines.withColumn("section", F.lit(0)))
 
 
-_TOKENS = f"""bodies AS (SELECT doc_id, b, x, {d.tokens('x')} AS tokens FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS b FROM documents)),
+def doc_bodies(spark, sf_dir) -> DataFrame:
+    return one_section(table(spark, sf_dir, "documents"))
+
+
+def tokens_sql(source: str, window: int, stride: int) -> str:
+    """The windows of one section of the lines of a source's texts: bodies, sums and kept."""
+    return f"""bodies AS (SELECT doc_id, b, x, {d.tokens('x')} AS tokens FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS b FROM {source})),
   sums AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY b) AS upto, count(*) OVER (PARTITION BY doc_id) AS n FROM bodies),
   starts(doc_id, k, s) AS (SELECT DISTINCT doc_id, 0, 0 FROM bodies UNION ALL
-    SELECT st.doc_id, st.k + 1, min(a.b) + 1 FROM starts st JOIN sums z ON z.doc_id = st.doc_id AND z.b = st.s JOIN sums a ON a.doc_id = st.doc_id AND a.b >= st.s AND a.upto - z.upto + z.tokens >= 300 AND a.b + 1 < a.n GROUP BY st.doc_id, st.k, st.s),
-  ends AS (SELECT st.doc_id, st.k, st.s, any_value(z.n) AS n, coalesce(min(CASE WHEN a.upto - z.upto + z.tokens >= 1100 THEN a.b + 1 END), any_value(z.n)) AS e
+    SELECT st.doc_id, st.k + 1, min(a.b) + 1 FROM starts st JOIN sums z ON z.doc_id = st.doc_id AND z.b = st.s JOIN sums a ON a.doc_id = st.doc_id AND a.b >= st.s AND a.upto - z.upto + z.tokens >= {stride} AND a.b + 1 < a.n GROUP BY st.doc_id, st.k, st.s),
+  ends AS (SELECT st.doc_id, st.k, st.s, any_value(z.n) AS n, coalesce(min(CASE WHEN a.upto - z.upto + z.tokens >= {window} THEN a.b + 1 END), any_value(z.n)) AS e
     FROM starts st JOIN sums z ON z.doc_id = st.doc_id AND z.b = st.s JOIN sums a ON a.doc_id = st.doc_id AND a.b >= st.s GROUP BY st.doc_id, st.k, st.s),
   kept AS (SELECT * FROM (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM ends) WHERE prev IS NULL OR e > prev)"""
 
 
+_TOKENS = tokens_sql("documents", windows.WINDOW_TOKENS, windows.STRIDE_TOKENS)
+
+
 @query(f"WITH RECURSIVE {_TOKENS} SELECT doc_id, printf('w_%04d_%04d', s, e - 1) AS window_id, s::INTEGER AS start_pos, e::INTEGER AS end_pos FROM kept")
 def window_plan(spark, sf_dir):
     return windows.plan_windows(doc_bodies(spark, sf_dir), fraction=None).select("doc_id", "window_id", "start_pos", "end_pos")
