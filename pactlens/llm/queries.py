@@ -20,7 +20,7 @@ from pactlens.llm.secret_scan import KINDS, scan_secrets
 from pactlens.llm.token_binary import token_binary
 from pactlens.llm.token_counts import count_tokens
 from pactlens.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, codebook_digest, vector_codes, with_label_error
-from pactlens.llm.warc import archive
+from pactlens.llm.warc import archived_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = archive(_table(spark, sf_dir, "pages")).filter("gap_start IS NULL")
+    """A row for each record read back; an error if any is lost. Null payloads count as empty, a null page id comes after all others."""
+    read = archived_records(_table(spark, sf_dir, "pages"))
     return read.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -35,6 +35,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An empty gzip member. Members may be concatenated, so a .warc.gz file may end with it; its bytes are written as Latin-1.
 EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0).decode("latin-1")
 GZIP_START, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
+#: What ends a header: an empty line, or, in a damaged one, the next version line, so that no search runs over records to come.
+HEADER_END = re.compile(rb"\r\n(?:\r\n|(?=WARC/1\.[01]\r\n))")
 GAP_FIELDS = "file string, gap_start long, gap_end long, reason string"
 
 
@@ -82,13 +84,18 @@ class Damaged(Exception):
     pass
 
 
+class LostRecords(RuntimeError):
+    """An archive of our own did not give back what was written into it."""
+
+
 def parse(data: bytes, at: int) -> Found:
     """The record whose version line begins at `at`."""
     if not VERSION.match(data, at):
         raise Damaged("no version line")
-    body = data.find(b"\r\n\r\n", at)
-    if body < 0:
+    end_of_header = HEADER_END.search(data, at)
+    if not end_of_header or end_of_header.end() - end_of_header.start() < 4:
         raise Damaged("the header has no end")
+    body = end_of_header.start()
     lines = data[at:body].decode("utf-8", "replace").split("\r\n")[1:]
     fields = {}
     for line in lines:
@@ -213,6 +220,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["file"])
 
     write_blobs(ready.mapInArrow(run, "file binary"), path, end=EMPTY_MEMBER)
+    stage.drop("repeated")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -258,10 +266,34 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write the pages' archives into the shared folder and read them back; as read_warc, with the ids in id_col's type."""
-    spark = pages.sparkSession
-    stage = Stage(spark, "warc")
+    """Write the pages' archives into the shared folder and read them back; as read_warc, with the ids in id_col's type.
+
+    What is read is lazy and may hold gaps; archived_records() makes sure that nothing is lost.
+    """
+    return _archived(pages, Stage(pages.sparkSession, "warc"), id_col, url_col, payload_col)
+
+
+def _archived(pages: DataFrame, stage: Stage, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     write_warc(pages, stage.at("archive"), id_col=id_col, url_col=url_col, payload_col=payload_col, stage=stage)
     kind = pages.schema[id_col].dataType
-    read = read_warc(read_blobs(spark, stage.at("archive")))
+    read = read_warc(read_blobs(pages.sparkSession, stage.at("archive")))
     return read.withColumn("page", F.col("page").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
+
+
+def archived_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """The records of archive() without their payloads, as many as there are pages, or an error: see all_of()."""
+    stage = Stage(pages.sparkSession, "warc")
+    return all_of(_archived(pages, stage, id_col, url_col, payload_col), pages.count(), stage)
+
+
+def all_of(read: DataFrame, rows: int, stage: Stage) -> DataFrame:
+    """The records of read_warc() without payloads, read once into a table; LostRecords if there is a gap or there are not `rows` records.
+
+    An archive without files has no records, which is right for no rows.
+    """
+    table = stage.table(read.drop("payload"), "records")
+    gap = F.col("gap_start").isNotNull()
+    seen = table.agg(F.count_if(~gap).alias("records"), F.count_if(gap).alias("gaps"), F.min(F.when(gap, F.struct("file", "gap_start", "gap_end", "reason"))).alias("first")).first()
+    if seen.gaps or seen.records != rows:
+        raise LostRecords(f"{rows} records written, {seen.records} read, {seen.gaps} gaps" + (f", one in {seen.first.file}: {seen.first.reason}" if seen.gaps else ""))
+    return table.filter(~gap)

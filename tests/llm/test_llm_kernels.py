@@ -154,6 +154,16 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"xyz"))[0].reason
 
 
+def test_false_version_lines_cost_no_search_of_the_rest():
+    import time
+
+    good, false = sample_records(2), b"WARC/1.1\r\n" * 40_000
+    began = time.monotonic()
+    found = list(warc.salvage(good[0] + false + good[1]))
+    assert time.monotonic() - began < 5
+    assert [x.fields is not None for x in found] == [True, False, True] and (found[1].start, found[1].end) == (len(good[0]), len(good[0]) + len(false))
+
+
 def test_classifier_learns_and_is_bounded():
     rng = random.Random(2)
     good = [" ".join(rng.choices(["the", "fee", "is", "paid", "on", "time"], k=40)) for _ in range(150)]

@@ -74,6 +74,25 @@ def test_warc(spark):
     assert archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_lost_record_is_an_error(spark, tmp_path):
+    import gzip
+
+    from pactlens.llm import warc
+    from pactlens.llm._common import Stage
+
+    members = [gzip.compress(warc.record(str(i), None, b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), None), mtime=0) for i in range(5)]
+    files = lambda data: spark.createDataFrame([("a", data), ("b", None)], "path string, content binary")
+    assert warc.all_of(warc.read_warc(files(b"".join(members))), 5, Stage(spark, "whole")).count() == 5
+    damaged = b"".join(members[:2]) + members[2][:-1] + b"?" + b"".join(members[3:])
+    with pytest.raises(warc.LostRecords, match="5 records written, 4 read, 1 gaps, one in a"):
+        warc.all_of(warc.read_warc(files(damaged)), 5, Stage(spark, "damaged"))
+    with pytest.raises(warc.LostRecords, match="5 records written, 4 read, 0 gaps"):
+        warc.all_of(warc.read_warc(files(b"".join(members[1:]))), 5, Stage(spark, "short"))
+    assert warc.archived_records(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    pages = spark.createDataFrame([(i, None, "y" * 5_000_000 if i == 1 else None, "z") for i in (1, 2, 2, None)], "page_id long, url string, html string, payload string").repartition(3)
+    assert sorted((r.page or 0, r.payload_bytes) for r in warc.archived_records(pages).collect()) == [(0, 0), (1, 5_000_000), (2, 0), (2, 0)]
+
+
 def near(i):
     words = [f"v{k}" for k in range(60)]
     words[i] = "changed"
