@@ -10,6 +10,7 @@ than its own; MergeTable checks that of its table and otherwise applies only the
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,13 +103,19 @@ def merge_counts(table: MergeTable, words: list[bytes]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=2)
+def table_of(path: str) -> MergeTable:
+    """The merge table of a vocabulary, read and sorted once a worker."""
+    return MergeTable(path)
+
+
 class Counting:
     """Counts tokens of texts; remembers a bounded number of pieces."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.table = MergeTable(path)
+        self.table = table_of(path)
         self.words = regex.compile(pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.table.special, key=len, reverse=True)))) if self.table.special else None
         self.known: dict[str, int] = {}
