@@ -143,7 +143,19 @@ def line_segmentation(spark, sf_dir):
     return segment.blocks(segment.lines_of(contracts(spark, sf_dir)))
 
 
-@query()
+_PACKED = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS line_no FROM (SELECT doc_id,
+    string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '\\r\\n?', chr(10), 'g'), chr(10)) AS a FROM documents)),
+  t AS (SELECT doc_id, line_no, {d.strip('raw')} AS s FROM l),
+  z AS (SELECT doc_id, line_no, list_filter(string_split({d.sub('s', f'([.!?]){tx.BLANK}+', chr(92) + '1' + chr(1))}, chr(1)), lambda x: x <> '') AS z FROM t WHERE length(s) > 1200),
+  c AS (SELECT *, list_transform(range(1, len(z) + 1), lambda j: list_sum(list_transform(z[1:j], lambda x: length(x) + 1))) AS upto FROM z),
+  p(doc_id, line_no, part, a, b) AS (
+    SELECT doc_id, line_no, 0, 1, greatest(1, coalesce(list_max(list_filter(range(1, len(z) + 1), lambda j: upto[j] - 1 <= 1200)), 1)) FROM c UNION ALL
+    SELECT p.doc_id, p.line_no, part + 1, p.b + 1, greatest(p.b + 1, coalesce(list_max(list_filter(range(p.b + 1, len(z) + 1), lambda j: upto[j] - upto[p.b] - 1 <= 1200)), p.b + 1)) FROM p JOIN c USING (doc_id, line_no) WHERE p.b < len(z))
+  SELECT doc_id, line_no::INTEGER AS line_no, 0 AS part, s AS text FROM t WHERE length(s) <= 1200
+  UNION ALL SELECT doc_id, line_no::INTEGER, part::INTEGER, array_to_string(z[a:b], ' ') FROM p JOIN c USING (doc_id, line_no)"""
+
+
+@query(_PACKED)
 def sentence_pack(spark, sf_dir):
     lines = segment.lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", "line_no", F.posexplode(segment.pack_sentences(F.col("s"))).alias("part", "text"))
@@ -159,7 +171,16 @@ def continuation_merge(spark, sf_dir):
     return segment.merge_continuations(segment.paragraphs_of(contracts(spark, sf_dir)))
 
 
-@query()
+_TIDY = f"""WITH RECURSIVE {d.LINES}, flags AS (SELECT doc_id, idx, text, level IS NOT NULL AS h, {d.signature('raw', 'level IS NULL')} AS s, len({d.words('text')}) AS n FROM lines),
+  per AS (SELECT doc_id, list({{'idx': idx, 'text': text, 'h': h, 's': s, 'n': n, 'stops': n = 0 OR h OR n > 2}} ORDER BY idx) AS f FROM flags GROUP BY doc_id),
+  ahead AS (SELECT doc_id, i, f[i] AS e, f[i:i + 4] AS a, coalesce(list_position(list_transform(f[i:i + 4], lambda x: x.stops), true), 0) AS stop FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM per)),
+  runs AS (SELECT doc_id, i, e, CASE WHEN stop = 0 THEN len(a) ELSE stop - 1 END AS size, NOT (e.s OR e.stops) AND (stop = 0 OR NOT a[stop].h) AS may FROM ahead),
+  told AS (SELECT doc_id, i, e, may AND size >= 3 AS run, i + CASE WHEN may AND size >= 3 THEN size ELSE 1 END AS after FROM runs),
+  met(doc_id, i) AS (SELECT doc_id, 1::BIGINT FROM per UNION ALL SELECT met.doc_id, told.after FROM met JOIN told USING (doc_id, i))
+  SELECT doc_id, e.idx::INTEGER AS idx, e.text AS text FROM met JOIN told USING (doc_id, i) WHERE e.n > 0 AND (e.h OR NOT (e.s OR run))"""
+
+
+@query(_TIDY)
 def garbage_filter(spark, sf_dir):
     return structure.drop_garbage(contract_lines(spark, sf_dir)).select("doc_id", "idx", "text")
 
@@ -277,7 +298,17 @@ def dedupe_quote_category(spark, sf_dir):
     return fo.best_by_quote(graded(spark, sf_dir)).select("doc_id", "seq", "category_id")
 
 
-@query()
+_GOES_ON = " OR ".join(f"(len(u) >= {n} AND len(v) >= {n} AND (u[-{n}:] = v[1:{n}] OR v[-{n}:] = u[1:{n}]))" for n in (3, 4, 5))
+_TELLING = f"list_filter({{}}, lambda w: length(w) > 3 AND w NOT IN ({', '.join(map(d.lit, fn.STOP))}))"
+
+
+@query(f"""WITH {d.FOUND}, numbered AS (SELECT doc_id, category_id, quote, row_number() OVER (PARTITION BY doc_id ORDER BY idx, n, category_id) AS seq FROM found),
+  pairs AS (SELECT doc_id, category_id, seq, lead(seq) OVER w AS other, {d.match_key('quote')} AS x, lead({d.match_key('quote')}) OVER w AS y FROM numbered WINDOW w AS (PARTITION BY doc_id, category_id ORDER BY seq)),
+  worded AS (SELECT *, {d.words('x')} AS u, {d.words('y')} AS v FROM pairs WHERE other IS NOT NULL),
+  telling AS (SELECT *, {_TELLING.format('u')} AS tu, {_TELLING.format('v')} AS tv, length(x) < length(y) AS x_is_less FROM worded),
+  own AS (SELECT *, CASE WHEN x_is_less THEN tu ELSE tv END AS own, contains(x, y) OR contains(y, x) OR {_GOES_ON} AS continues FROM telling)
+  SELECT doc_id, category_id, seq::INTEGER AS seq, other::INTEGER AS other, continues,
+    continues OR len(list_intersect(tu, tv)) >= 3 OR len(list_filter(own, lambda w: list_contains(CASE WHEN x_is_less THEN v ELSE u END, w))) >= greatest(3.0, len(own) * 0.5) AS related FROM own""")
 def quotes_intersect_pairs(spark, sf_dir):
     found = graded(spark, sf_dir).select("doc_id", "category_id", "seq", "quote")
     after = F.lead(F.struct("seq", "quote")).over(Window.partitionBy("doc_id", "category_id").orderBy("seq"))

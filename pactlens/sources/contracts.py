@@ -96,6 +96,32 @@ def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(F.inline("categories")).select("id", "name", "description")
 
 
+def read_taxonomy(spark: SparkSession, csv_path: str | None = None, json_path: str | None = None) -> DataFrame:
+    """The CSV taxonomy where there is one, else the JSON one; without either an error. Neither file is written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path, read in ((csv_path, read_taxonomy_csv), (json_path, read_taxonomy_json)):
+        if path:
+            at = hadoop.Path(path)
+            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+                return read(spark, path)
+    raise FileNotFoundError(f"no taxonomy at {[p for p in (csv_path, json_path) if p]}")
+
+
+def write_taxonomy_json(taxonomy: DataFrame, path: str, *, version: str = "1", source: str = "") -> None:
+    """One {version, categories, source} object in a folder, as read_taxonomy_json() takes it; categories in row order. A taxonomy is small."""
+    categories = F.collect_list(F.struct("id", "name", F.coalesce("description", F.lit("")).alias("description"))).alias("categories")
+    whole = taxonomy.coalesce(1).agg(categories).select(F.lit(version).alias("version"), "categories", F.lit(source).alias("source"))
+    whole.write.mode("overwrite").json(path)
+
+
+def citations(*named: DataFrame) -> DataFrame:
+    """name: the names of all tables (name), stripped, each once, in order; null and empty ones leave."""
+    every = named[0].select("name")
+    for more in named[1:]:
+        every = every.union(more.select("name"))
+    return every.select(strip(F.col("name")).alias("name")).filter("name <> ''").distinct().orderBy("name")
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """One JSON line for each document, in a folder for each doc_id's hash bucket, so that one document is read without the rest."""
     results.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(64))).write.mode("overwrite").partitionBy("bucket").json(path)

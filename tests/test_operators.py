@@ -188,3 +188,18 @@ def test_examples_of_any_length(spark):
     items = spark.createDataFrame([(1, "e old house st"), (2, "lake"), (3, "old house"), (4, ""), (5, None), (6, "no such words here"), (7, "old house stands")], "item_id int, text string")
     got = sorted((r.item_id, r.doc_id, r.k) for r in pick_examples(items, docs).collect())
     assert got == [(1, 1, 1), (1, 5, 2), (2, 1, 1), (2, 4, 2), (3, 1, 1), (3, 2, 2), (7, 1, 1), (7, 5, 2)]
+
+
+def test_taxonomy_prefers_csv_and_writes_json(spark, tmp_path):
+    from pactlens.sources.contracts import citations, read_taxonomy, write_taxonomy_json
+
+    rows = [("b", "Bé", "x"), ("a", "A", None)]
+    write_taxonomy_json(spark.createDataFrame(rows, "id string, name string, description string").coalesce(1), str(tmp_path / "t.json"), source="here")
+    csv, missing = tmp_path / "t.csv", str(tmp_path / "none.csv")
+    csv.write_text("id,name,description\nc,C,y\n")
+    assert [tuple(r) for r in read_taxonomy(spark, missing, str(tmp_path / "t.json")).collect()] == [("b", "Bé", "x"), ("a", "A", "")]
+    assert [r.id for r in read_taxonomy(spark, str(csv), str(tmp_path / "t.json")).collect()] == ["c"]
+    with pytest.raises(FileNotFoundError):
+        read_taxonomy(spark, missing, None)
+    names = [spark.createDataFrame([(x,) for x in part], "name string") for part in ([" B Act", "A Act", None], ["B Act", "", "C Act"])]
+    assert [r.name for r in citations(*names).collect()] == ["A Act", "B Act", "C Act"]
