@@ -222,12 +222,6 @@ def window_members(spark, sf_dir):
     return rows.groupBy("doc_id", "window_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text") + windows.PER_PARAGRAPH).cast("long").alias("size"), F.sum("tokens").cast("long").alias("tokens"))
 
 
-@query()
-def window_extend(spark, sf_dir):
-    parted = structure.sections(contract_lines(spark, sf_dir))
-    return windows.plan_windows(windows.body(parted), window=40, stride=15)
-
-
 @query(f"""WITH RECURSIVE {_TOKENS}, w AS (SELECT k.doc_id, k.s, k.e, list(length(x) + 40 ORDER BY m.b) AS z FROM kept k JOIN bodies m ON m.doc_id = k.doc_id AND m.b >= k.s AND m.b < k.e GROUP BY ALL),
   p(doc_id, s, e, z, part, a, b) AS (SELECT doc_id, s, e, z, 0, 1, greatest(1, coalesce(list_max(list_filter(range(1, len(z) + 1), lambda i: list_sum(z[1:i]) <= 2000)), 1)) FROM w UNION ALL
     SELECT doc_id, s, e, z, part + 1, greatest(b, a + 1), greatest(greatest(b, a + 1), coalesce(list_max(list_filter(range(greatest(b, a + 1), len(z) + 1), lambda i: list_sum(z[greatest(b, a + 1):i]) <= 2000)), 0)) FROM p WHERE b < len(z))
@@ -245,6 +239,25 @@ _LAST = "length(regexp_extract(text, '(?is)^(.*)\\b(except|provided that|subject
 _FIRST = "length(regexp_extract(text, '(?is)^(.*?)\\b(except|provided that|subject to|notwithstanding|unless)\\b', 1))"
 
 
+_GROWN = f"""WITH RECURSIVE {_sections_sql()},
+  parts AS (SELECT {{'d': doc_id, 's': section}} AS doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, list(idx ORDER BY idx) AS ids FROM cut WHERE NOT top GROUP BY cut.doc_id, section),
+  {tokens_sql('parts', 40, 15)},
+  texts AS (SELECT k.doc_id, k.s, k.e, k.n, string_agg(x, chr(10) || chr(10) ORDER BY m.b) AS text FROM kept k JOIN bodies m ON m.doc_id = k.doc_id AND m.b >= k.s AND m.b < k.e GROUP BY ALL),
+  edges AS (SELECT *, {d.has('text', tx.TRIGGER)} AND {_FIRST} <= {_EDGE} AS near_start, {d.has('text', tx.TRIGGER)} AND {_LAST} >= greatest(0, length(text) - {_EDGE}) AS near_end FROM texts),
+  before AS (SELECT doc_id, b, upto - tokens AS gone FROM sums UNION ALL SELECT doc_id, max(b) + 1, max(upto) FROM sums GROUP BY doc_id),
+  grown AS (SELECT w.doc_id, w.s, w.e, any_value(w.near_start) AS near_start, any_value(w.near_end) AS near_end, any_value(w.n) AS n,
+    max(CASE WHEN a.b <= w.s AND at_s.gone - a.gone >= 15 THEN a.b END) AS back, min(CASE WHEN a.b >= w.e AND a.gone - at_e.gone >= 15 THEN a.b END) AS forth
+    FROM edges w JOIN before a USING (doc_id) JOIN before at_s ON at_s.doc_id = w.doc_id AND at_s.b = w.s JOIN before at_e ON at_e.doc_id = w.doc_id AND at_e.b = w.e GROUP BY w.doc_id, w.s, w.e)
+  SELECT doc_id.d AS doc_id, doc_id.s::INTEGER AS section, printf('w_%04d_%04d', ids[s + 1], ids[e]) AS window_id, CASE WHEN near_start AND s > 0 THEN coalesce(back, 0) ELSE s END::INTEGER AS start_pos,
+    CASE WHEN near_end AND e < n THEN coalesce(forth, n) ELSE e END::INTEGER AS end_pos, s::INTEGER AS main_start, e::INTEGER AS main_end FROM grown JOIN parts USING (doc_id)"""
+
+
+@query(_GROWN)
+def window_extend(spark, sf_dir):
+    parted = structure.sections(contract_lines(spark, sf_dir))
+    return windows.plan_windows(windows.body(parted), window=40, stride=15)
+
+
 @query(f"WITH {d.CONTRACTS} SELECT doc_id, {d.has('text', tx.TRIGGER)} AS has_trigger, {d.has('text', tx.TRIGGER)} AND {_FIRST} <= {_EDGE} AS near_start, {d.has('text', tx.TRIGGER)} AND {_LAST} >= greatest(0, length(text) - {_EDGE}) AS near_end FROM contracts")
 def trigger_edges(spark, sf_dir):
     return contracts(spark, sf_dir).select("doc_id", tx.has_trigger(F.col("text")).alias("has_trigger"), tx.trigger_edges(F.col("text")).alias("e")).select("doc_id", "has_trigger", "e.near_start", "e.near_end")
