@@ -34,15 +34,14 @@ def repair_quotes(found: DataFrame, repairer: Classifier, *, quote: str = "quote
     """
     to_mend = (text_of(F.col(quote)) != "") & (text_of(F.col(text)) != "") & ~holds(F.col(text), F.col(quote))
     marked = found.withColumn("__mend", to_mend)
-    called = call_rows(marked.filter("__mend"), repairer, check=needs_object, policy=policy)
+    called = call_rows(marked, repairer, check=needs_object, policy=policy, only="__mend")
     answer = strip(F.from_json(json_object(F.col("raw")), "struct<quote:string>")["quote"])
     asked = called.withColumn("__new", answer).withColumn("__ok", F.coalesce(accepts_repair(F.col(text), F.col(quote), F.col("__new")), F.lit(False)))
     unfit = F.when((F.col("__new") != "") & ~F.col("__ok"), F.lit("not in the text, or of another length"))
     repair = F.struct(F.col(quote).alias("original"), F.col("__new").alias("repaired"), F.col("__ok").alias("matched"), F.coalesce("error", unfit).alias("error"))
     columns = [F.col(f"`{c}`") for c in found.columns if c != quote]
-    mended = asked.select(*columns, F.when(F.col("__ok"), F.col("__new")).otherwise(F.col(quote)).alias(quote), repair.alias("repair"))
-    rest = marked.filter("NOT __mend").select(*columns, F.col(quote), F.lit(None).cast(mended.schema["repair"].dataType).alias("repair"))
-    return mended.unionByName(rest).select(*[F.col(f"`{c}`") for c in found.columns], "repair")
+    mended = asked.select(*columns, F.when(F.col("__mend") & F.col("__ok"), F.col("__new")).otherwise(F.col(quote)).alias(quote), F.when(F.col("__mend"), repair).alias("repair"))
+    return mended.select(*[F.col(f"`{c}`") for c in found.columns], "repair")
 
 
 def regenerate_references(found: DataFrame, asker: Classifier, *, refs: str = "refs", skip_if_none: bool = False, policy: Policy = Policy(attempts=2)) -> DataFrame:
