@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pactlens.operators import classifiers as cl
-from pactlens.operators import fewshot, repair
+from pactlens.operators import annotate, fewshot, repair
 from pactlens.plans import models
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,3 +70,15 @@ def test_rows_to_mend_are_read_once(spark):
 def test_snippet_begins_behind_a_line_feed(spark):
     rows = spark.createDataFrame([("word\nquote",)], "c string")
     assert rows.select(fewshot.snippet(F.col("c"), F.lit(5), F.lit("quote"), 0)).first()[0] == "quote"
+
+
+def test_findings_that_a_paragraph_lacks_are_not_gathered(spark):
+    """Lines meet their findings one by one, and what a line shows is compared before anything is collected."""
+    paragraphs = spark.createDataFrame([(1, 0, "one ΑΣΑ Fee and fee five"), (1, 0, "fee five"), (None, 1, None)], "doc_id long, idx int, text string")
+    asked = spark.createDataFrame([(1, 0, i, i, q) for i, q in enumerate(["FEE FIVE ", "nothing", "fee", None, "one ΑΣ"])], "doc_id long, idx int, seq int, finding_id int, quote string")
+    found = annotate.highlight_paragraphs(paragraphs, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join" in x and "Contains" in x]
+    got = sorted((r["html"], [(x["start"], x["id"]) for x in r["ranges"]]) for r in found.collect())
+    span = '<span class="hl" data-finding-id="{}">{}</span>'
+    assert got == [("", []), (span.format(0, "fee five"), [(0, "0")]), (span.format(4, "one ΑΣ") + "Α Fee and " + span.format(0, "fee five"), [(0, "4"), (16, "0")])]
