@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pactlens.operators import classifiers as cl
-from pactlens.operators import annotate, fewshot, repair
+from pactlens.operators import annotate, fewshot, layout, repair
 from pactlens.plans import models
 
 SMALL = "/root/testdata/sf0.001"
@@ -82,3 +82,20 @@ def test_findings_that_a_paragraph_lacks_are_not_gathered(spark):
     got = sorted((r["html"], [(x["start"], x["id"]) for x in r["ranges"]]) for r in found.collect())
     span = '<span class="hl" data-finding-id="{}">{}</span>'
     assert got == [("", []), (span.format(0, "fee five"), [(0, "0")]), (span.format(4, "one ΑΣ") + "Α Fee and " + span.format(0, "fee five"), [(0, "4"), (16, "0")])]
+
+
+def test_words_of_pages_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    kind = "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double"
+    rows = [(1, p, w, 10.0 + 30 * k, 35.0 + 30 * k, 20.0, 30.0) for p in (1, 2, 3) for k, w in enumerate(("goes", "on"))]
+    words = spark.createDataFrame(rows, kind).mapInArrow(seen, kind)
+    pages = spark.createDataFrame([(1, p, 100, 100) for p in (1, 2, 3)], "doc_id long, page int, width int, height int")
+    got = layout.layout_paragraphs(words, pages).collect()
+    assert [(r["paragraph_index"], r["page"], r["text"], r["bbox"]) for r in got] == [(0, 1, "goes on goes on goes on", None)]
+    assert read.value == len(rows)
