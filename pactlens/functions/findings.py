@@ -131,18 +131,24 @@ def _within(a: Column, b: Column) -> Column:
 
 def quotes_intersect(a: Column, b: Column, strict: bool = False) -> Column:
     """One holds the other, or goes on from the other by three to five words; if not strict, also by enough common long words."""
-    x, y = match_key(a), match_key(b)
-    u, v = words(x), words(y)
-    out = _within(x, y)
-    for n in (5, 4, 3):
-        enough = (F.size(u) >= n) & (F.size(v) >= n)
-        out = out | (enough & ((F.slice(u, F.greatest(F.size(u) - n + 1, F.lit(1)), n) == F.slice(v, 1, n)) | (F.slice(v, F.greatest(F.size(v) - n + 1, F.lit(1)), n) == F.slice(u, 1, n))))
-    if not strict:
+
+    def goes_on(u: Column, v: Column) -> Column:
+        out = F.lit(False)
+        for n in (5, 4, 3):
+            enough = (F.size(u) >= n) & (F.size(v) >= n)
+            out = out | (enough & ((F.slice(u, F.greatest(F.size(u) - n + 1, F.lit(1)), n) == F.slice(v, 1, n)) | (F.slice(v, F.greatest(F.size(v) - n + 1, F.lit(1)), n) == F.slice(u, 1, n))))
+        return out
+
+    def alike(x: Column, y: Column, u: Column, v: Column) -> Column:
         telling = lambda w: F.filter(w, lambda t: (F.length(t) > 3) & ~t.isin(STOP))
-        shorter, longer = F.when(F.length(x) < F.length(y), u).otherwise(v), F.when(F.length(x) < F.length(y), v).otherwise(u)
-        own = telling(shorter)
-        common = F.filter(own, lambda t: F.array_contains(longer, t))
-        out = out | (F.size(F.array_intersect(telling(u), telling(v))) >= 3) | (F.size(common) >= F.greatest(F.lit(3.0), F.size(own) * 0.5))
+        less = F.length(x) < F.length(y)
+        share = lambda own, longer: F.size(F.filter(own, lambda t: F.array_contains(longer, t))) >= F.greatest(F.lit(3.0), F.size(own) * 0.5)
+        common = let(F.when(less, v).otherwise(u), lambda longer: let(telling(F.when(less, u).otherwise(v)), lambda own: share(own, longer)))
+        return (F.size(F.array_intersect(telling(u), telling(v))) >= 3) | common
+
+    # keys and words are bound once; each stands in many places
+    worded = lambda x, y: let(words(x), lambda u: let(words(y), lambda v: goes_on(u, v) if strict else goes_on(u, v) | alike(x, y, u, v)))
+    out = let(match_key(a), lambda x: let(match_key(b), lambda y: _within(x, y) | worded(x, y)))
     return (text_of(a) != "") & (text_of(b) != "") & out
 
 

@@ -2,12 +2,15 @@
 
 import json
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pactlens.functions import findings as fn
 from pactlens.operators import classifiers as cl
+from pactlens.operators import findings as fo
 from pactlens.operators import annotate, fewshot, layout, repair
 from pactlens.plans import models
 
@@ -99,3 +102,18 @@ def test_words_of_pages_are_read_once(spark):
     got = layout.layout_paragraphs(words, pages).collect()
     assert [(r["paragraph_index"], r["page"], r["text"], r["bbox"]) for r in got] == [(0, 1, "goes on goes on goes on", None)]
     assert read.value == len(rows)
+
+
+def test_quotes_are_cleaned_once_for_a_comparison(spark):
+    rows = spark.createDataFrame([("The  Supplier may charge fees", "may charge fees at will"), ("ab", "cd"), ("", "x")], "a string, b string")
+    found = rows.select(fn.quotes_intersect(F.col("a"), F.col("b")).alias("r"))
+    assert [r["r"] for r in found.collect()] == [True, False, False]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
+
+
+def test_hints_leave_no_finding_out(spark):
+    texts = ["You may TERMINATE at ANY time. Or not.", "Without any CAP.", "nothing", None, "An Audit.", "No refund: NOT refundable"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("idx", F.lit(0))
+    bare = tuple(replace(c, hints=()) for c in fo.CUES)
+    got, every = (sorted(map(tuple, fo.classify(rows, cues).collect())) for cues in (fo.CUES, bare))
+    assert got == every and len(got) == 4
