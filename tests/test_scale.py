@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pactlens.functions import findings as fn
+from pactlens.functions import headings as hd
+from pactlens.functions.text import strip
 from pactlens.operators import classifiers as cl
 from pactlens.operators import findings as fo
-from pactlens.operators import annotate, fewshot, layout, repair
+from pactlens.operators import annotate, fewshot, layout, repair, segment
 from pactlens.plans import models
 
 SMALL = "/root/testdata/sf0.001"
@@ -117,3 +119,18 @@ def test_hints_leave_no_finding_out(spark):
     bare = tuple(replace(c, hints=()) for c in fo.CUES)
     got, every = (sorted(map(tuple, fo.classify(rows, cues).collect())) for cues in (fo.CUES, bare))
     assert got == every and len(got) == 4
+
+
+def test_headings_are_told_alike_with_and_without_their_parts(spark):
+    lines = ["SUPPLY AGREEMENT", "1. PAYMENT TERMS", "1.1 Of Terms", "1.", "7", "2) a b", "3(a) Title: x", "Section 2: of the goods and the others", "section 4", "SECTION 5, of", "Clause 3.1 X", "§ 4 Law.", "ARTICLE IV All is of no use here at all",
+             "Audit Rights And Records", "All of Us", "One of the two and of the Three Four Five Six Seven Eight Nine", "Name: of", "Heading Of:", "A; B", "A, B, C", "ÉTAT DES LIEUX", "état Des Lieux", "IT IS OVER.", "Attn: Us", "AB1 2CD", "You Must Pay", "", " ", "X" * 161]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string").select(strip(F.col("t")).alias("t"))
+    got = rows.select("t", hd.is_heading(F.col("t")).alias("is"), hd.parse_heading(F.col("t")).isNotNull().alias("parsed")).collect()
+    assert [r["t"] for r in got if r["is"] != r["parsed"]] == [] and 8 <= sum(r["is"] for r in got) < len(lines) - 8
+
+
+def test_rules_of_continuations_are_asked_once(spark):
+    rows = spark.createDataFrame([(1, 0, "Goods from the"), (1, 1, "Supplier:"), (1, 2, "it ends."), (1, 3, "x")], "doc_id long, idx int, text string")
+    found = segment.merge_continuations(rows)
+    assert [(r["idx"], r["text"]) for r in found.orderBy("idx").collect()] == [(0, "Goods from the Supplier:"), (1, "it ends."), (2, "x")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(segment.BEFORE_THE) <= 2
