@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pactlens.llm._common import by_bytes, field_ddl, pieces, ship, strings, whole
+from pactlens.llm._common import by_bytes, field_ddl, ship, strings
 
-#: Distinct pieces of text and pre-tokens whose ids a worker remembers; as many again from before are looked up as well.
-CACHE_PIECES, CACHE_WORDS = 100_000, 80_000
-#: Pieces that go through one recursive query.
-QUERY_PIECES = 20_000
+#: Distinct pre-tokens whose ids a worker remembers, and their bytes; as many again from before are looked up as well.
+CACHE_WORDS, CACHE_BYTES = 250_000, 8 << 20
+#: Bytes of pre-tokens that go through one recursive query, one pre-token at least.
+QUERY_BYTES = 1 << 18
 #: Text bytes encoded and decoded at once.
 BATCH = 1 << 20
 #: Where the limits of the blocks lie among the ranks at a word's inner places, and a rank above all.
@@ -106,8 +106,7 @@ class Codec:
         self.sizes = sorted({len(t) for t in self.ranks if len(t) > 1})
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
-        self.words_before: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _load(self, name: str, **columns) -> None:
         rows = pa.table(columns)  # noqa: F841  DuckDB reads it by this name
@@ -176,27 +175,25 @@ class Codec:
         return k, ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known_before, self.known = self.known, {}
+        split = [self.words.findall(t) for t in texts]
+        if len(self.known) > CACHE_WORDS or self.known_bytes > CACHE_BYTES:
+            self.known_before, self.known, self.known_bytes = self.known, {}, 0
         known, before = self.known, self.known_before
         new = []
-        for x in set().union(*split).difference(known):
-            if (ids := before.get(x)) is None:
-                new.append(x)
+        for w in set().union(*split).difference(known):
+            if (ids := before.get(w)) is None:
+                new.append(w)
             else:
-                known[x] = ids
-        for at in range(0, len(new), QUERY_PIECES):
-            part = new[at : at + QUERY_PIECES]
-            found = [self.words.findall(whole(x)) for x in part]
-            if len(self.known_words) > CACHE_WORDS:
-                self.words_before, self.known_words = self.known_words, {}
-            ids, old = self.known_words, self.words_before
-            words = {w for own in found for w in own if w not in ids}
-            ids.update((w, old[w]) for w in words if w in old)
-            words = [w for w in words if w not in old]
-            ids.update(zip(words, self.merge([w.encode() for w in words])))
-            known.update((x, b"".join(map(ids.__getitem__, own))) for x, own in zip(part, found))
+                known[w] = ids
+                self.known_bytes += len(w)
+        raw = [w.encode() for w in new]
+        ends = np.cumsum([0, *map(len, raw)])
+        self.known_bytes += int(ends[-1])
+        at = 0
+        while at < len(raw):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + QUERY_BYTES, "right")) - 1)
+            known.update(zip(new[at:to], self.merge(raw[at:to])))
+            at = to
         return [b"".join(map(known.__getitem__, own)) for own in split]
 
     def decode(self, docs: list[bytes]) -> list[bytes]:

@@ -42,6 +42,17 @@ def test_codec_equals_the_library():
     assert codec.decode(ids) == [t.encode() for t in texts()]
 
 
+def test_codec_remembers_words_in_other_surroundings(monkeypatch):
+    codec, rng = bpe_codec.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200_000)]
+    parts = [words[at : at + 20_000] for at in range(0, len(words), 20_000)]
+    first = [codec.encode([" " + " ".join(part)]) for part in parts]
+    merge, again = codec.merge, []
+    monkeypatch.setattr(codec, "merge", lambda new: again.extend(new) or merge(new))
+    more = [codec.encode([", " + ", ".join(part)]) for part in parts]
+    assert set(again) <= {b","} and [len(x[0]) for x in more] == [len(x[0]) + 4 * len(part) for x, part in zip(first, parts)]
+
+
 def test_tokenizing_equals_the_library():
     from tokenizers import Tokenizer
 
