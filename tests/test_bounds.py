@@ -27,3 +27,22 @@ def test_bare_texts_are_stripped_texts(spark):
     texts = ["", " ", "a", " a", "a\u00a0", "\u2003\u00e9\t", "~", "!", "\x7f", "\u00e9", "a b ", "\u3000x", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [t for t, got in rows.select("t", tx.bare(F.col("t")).alias("b")).collect() if got != (t or "").strip(tx.BLANKS)] == []
+
+
+def test_garbage_leaves_without_a_join(spark):
+    rows = spark.createDataFrame([(1, 0, "By: /s/ Jane Poe", 7), (1, 1, "It stays as it is", 8), (1, 2, "RECITALS", 9), (None, 0, "It has no document", 1)], "doc_id int, idx int, text string, page int")
+    kept = structure.drop_garbage(rows)
+    assert [(r["idx"], r["page"], r["heading"] and r["heading"]["title"] is None) for r in kept.orderBy("idx").collect()] == [(1, 8, None), (2, 9, True)]
+    assert "Join" not in plan(kept)
+
+
+def test_signs_are_told_alike_from_every_form(spark):
+    texts = ["Attn: Us and all of them", "Date: 01/02/1998", "12 March 1998", "January 3, 1998", "Signed /S/ by the one who signs", "Jane Poe Smith", "Jane Poe, President", "Northfield, Illinois 60093 Attn: x",
+             "Paris Texas on 1/2/1998", "ab cd", "Print name: Ann", "The rent is due on 1/2/1998 as agreed", "1.1 By him", "Jane is here now", "RECITALS", "a", "on a date", "", "E-mail: x y z", "Name: _ _ _", "1/2/98"]
+    t, n, date = F.col("t"), F.size(tx.words(F.col("t"))), hd.ANY_DATE
+    names = F.size(F.filter(tx.words(t), lambda x: x.rlike("^[A-Z][a-z]+$")))
+    dated = n.between(2, 8) & t.rlike(rf"(?i)\b{date}\b") & (names >= 2) & (names >= n * 0.6)
+    every = t.rlike(hd.ADDRESS) | t.rlike(hd.LABELLED) | (n <= 2) | t.rlike(hd.NAME_ONLY) | t.rlike("(?i)/s/") | t.rlike(rf"(?i)^{date}$") | dated | t.rlike(hd.FORM_LINE)
+    rows = spark.createDataFrame([(x, h) for x in texts for h in (True, False)], "t string, h boolean")
+    got = rows.select("t", "h", hd.signs(t, F.col("h"), n).alias("got"), ((F.length(t) >= 3) & ~F.col("h") & ~t.rlike(r"^[0-9]+(?:\.[0-9]+)+") & every).alias("want")).collect()
+    assert [(r["t"], r["h"]) for r in got if r["got"] != r["want"]] == [] and 10 <= sum(r["want"] for r in got) < len(texts)
