@@ -46,3 +46,9 @@ def test_signs_are_told_alike_from_every_form(spark):
     rows = spark.createDataFrame([(x, h) for x in texts for h in (True, False)], "t string, h boolean")
     got = rows.select("t", "h", hd.signs(t, F.col("h"), n).alias("got"), ((F.length(t) >= 3) & ~F.col("h") & ~t.rlike(r"^[0-9]+(?:\.[0-9]+)+") & every).alias("want")).collect()
     assert [(r["t"], r["h"]) for r in got if r["got"] != r["want"]] == [] and 10 <= sum(r["want"] for r in got) < len(texts)
+
+
+def test_hints_put_a_text_in_small_letters_once(spark):
+    rows = spark.createDataFrame([(1, 0, "An AUDIT."), (1, 1, "nothing"), (1, 2, None)], "doc_id int, idx int, text string")
+    kept = fo.hinted(rows, fo.CUES)
+    assert [r["idx"] for r in kept.collect()] == [0] and plan(kept).count("lower(") == 1
