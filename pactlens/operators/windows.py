@@ -64,7 +64,9 @@ def plan_windows(bodies: DataFrame, window: int = WINDOW_TOKENS, stride: int = S
             if fraction is None:
                 return grown(w, None)
             text = F.array_join(F.transform(F.slice(p, w["s"] + 1, w["e"] - w["s"]), lambda x: x["text"]), "\n\n")
-            return let(let(text, lambda t: trigger_edges(t, fraction)), lambda edges: grown(w, edges))
+            near = let(let(text, lambda t: trigger_edges(t, fraction)), lambda edges: grown(w, edges))
+            # a window of the whole section can't grow
+            return F.when((w["s"] > 0) | (w["e"] < n), near).otherwise(grown(w, None))
 
         return let(ends, lambda every: F.transform(F.filter(every, lambda w, i: (i == 0) | (w["e"] > F.get(every, i - 1)["e"])), told))
 
@@ -82,7 +84,9 @@ def first_from(sums: Column, lo: Column, hi: Column, least: Column) -> Column:
         open_ = s["lo"] < s["hi"]
         return F.struct(F.when(open_ & ~there, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & there, mid).otherwise(s["hi"]).alias("hi"), s["least"].alias("least"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), begin, halve, lambda s: s["lo"])
+    # as many halvings as the places between have binary digits
+    steps = F.length(F.bin(F.greatest(hi - lo, F.lit(0))))
+    return F.aggregate(F.sequence(F.lit(1), steps), begin, halve, lambda s: s["lo"])
 
 
 def members(windows: DataFrame, bodies: DataFrame) -> DataFrame:

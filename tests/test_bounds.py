@@ -48,6 +48,18 @@ def test_signs_are_told_alike_from_every_form(spark):
     assert [(r["t"], r["h"]) for r in got if r["got"] != r["want"]] == [] and 10 <= sum(r["want"] for r in got) < len(texts)
 
 
+def test_places_are_halved_as_often_as_they_need(spark):
+    rows = spark.createDataFrame([([0, 2, 4, 6, 8, 10, 12], n) for n in range(15)], "sums array<long>, least long")
+    found = rows.select("least", windows.first_from(F.col("sums"), F.lit(0), F.size("sums"), F.col("least")).alias("at"))
+    assert [(r["least"], r["at"]) for r in found.collect()] == [(n, -(-n // 2)) for n in range(15)]
+    assert "31" not in plan(found)
+
+
+def test_triggers_near_edges(spark):
+    rows = spark.createDataFrame([("unless " + "x" * 60,), ("x" * 60 + " Except",), ("x" * 30,), (None,)], "t string").select(tx.trigger_edges(F.col("t")).alias("e"))
+    assert [tuple(r["e"]) for r in rows.collect()] == [(True, False), (False, True), (False, False), (False, False)]
+
+
 def test_hints_put_a_text_in_small_letters_once(spark):
     rows = spark.createDataFrame([(1, 0, "An AUDIT."), (1, 1, "nothing"), (1, 2, None)], "doc_id int, idx int, text string")
     kept = fo.hinted(rows, fo.CUES)
