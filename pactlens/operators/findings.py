@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions.findings import MAX_REFERENCES, dedupe_key, severity, valid_references
-from pactlens.functions.text import BLANK, let, match_key, slug, squeeze, strip, text_of, words
+from pactlens.functions.text import BLANK, let, match_key, normalize, slug, squeeze, strip, text_of, words
 
 
 @dataclass(frozen=True)
@@ -132,27 +132,30 @@ def _between(text: Column, quote_words: Column, n: int) -> Column:
     return F.when((F.size(quote_words) >= n) & (start > 0) & (end > 1), F.regexp_replace(cut, rf"^{BLANK}+|{BLANK}+$", ""))
 
 
-def locate(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def locate(quotes: DataFrame, paragraphs: DataFrame, upto: int = 6) -> DataFrame:
     """quotes (doc_id, quote_id, quote, lo, hi) with tier, idx and evidence: where each is in the paragraphs lo <= idx < hi.
 
     Tier 1 is the quote as it stands; 2 its key in the paragraph's key (more than 20 characters), with the paragraph's own wording if
     the first and last five or three words frame half the length; 3 and 4 the quote or its key over paragraph borders; 6 its first
     seven words, framed by five and five to 60 %. The lowest tier wins, then the first paragraph. Quotes found nowhere leave, null and
-    empty ones too.
+    empty ones too, and those that only a tier behind `upto` finds.
 
     A document's paragraphs and its quotes are brought together in one row, once, so memory is linear in the document; a tier is only
-    looked at for quotes that those before it left.
+    looked at for quotes that those before it left. Tier 1 asks for no keys, so with it alone none are made.
     """
     key = match_key(F.col("quote"))
     asked = quotes.filter("quote <> ''").select("doc_id", F.struct("quote_id", "quote", "lo", "hi", key.alias("key"), words(key).alias("kw")).alias("q"))
     asked = asked.groupBy("doc_id").agg(F.collect_list("q").alias("q"))
-    text = text_of(F.col("text"))
-    held = paragraphs.join(asked.select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", text.alias("text"), match_key(text).alias("key")))).alias("p"))
-    return asked.join(held.hint("merge"), "doc_id").select("doc_id", F.inline(F.filter(F.transform("q", lambda q: _place(q, F.col("p"))), lambda r: r["tier"].isNotNull())))
+    # keys are made of columns, in two steps, so that Spark compiles them and cleans a text once
+    rows = paragraphs.select("doc_id", "idx", text_of(F.col("text")).alias("text"))
+    if upto > 1:
+        rows = rows.withColumn("clean", normalize(F.col("text"))).withColumn("key", squeeze(F.col("clean"))).drop("clean")
+    held = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*rows.columns[1:]))).alias("p"))
+    return asked.join(held.hint("merge"), "doc_id").select("doc_id", F.inline(F.filter(F.transform("q", lambda q: _place(q, F.col("p"), upto)), lambda r: r["tier"].isNotNull())))
 
 
-def _place(q: Column, paragraphs: Column) -> Column:
-    """struct(quote_id, tier, idx, evidence) of one quote in its part of a document."""
+def _place(q: Column, paragraphs: Column, upto: int) -> Column:
+    """struct(quote_id, tier, idx, evidence) of one quote in its part of a document, by the tiers up to `upto`."""
     kw = q["kw"]
     first = lambda here, test: F.array_position(F.transform(here, test), True).cast("int")
     told = lambda tier, idx, evidence: F.struct(q["quote_id"].alias("quote_id"), F.lit(tier).alias("tier"), idx.alias("idx"), evidence.alias("evidence"))
@@ -172,13 +175,13 @@ def _place(q: Column, paragraphs: Column) -> Column:
 
     def keyed(here: Column) -> Column:
         evidence = lambda p: F.coalesce(framed(p, 5, 0.5), framed(p, 3, 0.5), q["quote"])
-        rest = across(here, "text", "\n\n", q["quote"], 3, across(here, "key", " ", q["key"], 4, begun(here)))
+        rest = none if upto < 3 else across(here, "text", "\n\n", q["quote"], 3, across(here, "key", " ", q["key"], 4, begun(here)))
         at = F.when(F.length(q["key"]) > 20, first(here, lambda p: p["key"].contains(q["key"]))).otherwise(0)
         return let(at, lambda i: F.when(i > 0, let(F.get(here, i - 1), lambda p: told(2, p["idx"], evidence(p)))).otherwise(rest))
 
     def exact(here: Column) -> Column:
         at = first(here, lambda p: p["text"].contains(q["quote"]))
-        return let(at, lambda i: F.when(i > 0, told(1, F.get(here, i - 1)["idx"], q["quote"])).otherwise(keyed(here)))
+        return let(at, lambda i: F.when(i > 0, told(1, F.get(here, i - 1)["idx"], q["quote"])).otherwise(keyed(here) if upto > 1 else none))
 
     return let(F.filter(paragraphs, lambda p: (p["idx"] >= q["lo"]) & (p["idx"] < q["hi"])), exact)
 

@@ -60,6 +60,18 @@ def test_triggers_near_edges(spark):
     assert [tuple(r["e"]) for r in rows.collect()] == [(True, False), (False, True), (False, False), (False, False)]
 
 
+def test_quotes_are_located_up_to_a_tier(spark):
+    paras = spark.createDataFrame([(1, 0, "The Tenant must   pay the rent in full on each day."), (1, 1, "No pets are allowed here"), (1, 2, "or in the garden."), (2, 0, "x")], "doc_id int, idx int, text string")
+    quotes = [(1, 1, "must   pay"), (1, 2, "the tenant MUST pay the rent in full"), (1, 3, "allowed here\n\nor in"), (1, 4, "allowed here or in"), (1, 5, "nowhere to be found at all")]
+    q = spark.createDataFrame([(*x, 0, 9) for x in quotes], "doc_id int, quote_id int, quote string, lo int, hi int")
+    every = sorted((r.quote_id, r.tier, r.idx) for r in fo.locate(q, paras).collect())
+    assert every == [(1, 1, 0), (2, 2, 0), (3, 3, 1), (4, 4, 1)]
+    for n in (1, 2):
+        assert sorted((r.quote_id, r.tier, r.idx) for r in fo.locate(q, paras, n).collect()) == every[:n]
+    assert plan(fo.locate(q, paras, 1)).count(CLEANED) < plan(fo.locate(q, paras, 2)).count(CLEANED)
+    assert plan(fo.locate(q, paras)).count("LeftSemi") == 0
+
+
 def test_hints_put_a_text_in_small_letters_once(spark):
     rows = spark.createDataFrame([(1, 0, "An AUDIT."), (1, 1, "nothing"), (1, 2, None)], "doc_id int, idx int, text string")
     kept = fo.hinted(rows, fo.CUES)
