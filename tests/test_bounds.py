@@ -76,3 +76,12 @@ def test_hints_put_a_text_in_small_letters_once(spark):
     rows = spark.createDataFrame([(1, 0, "An AUDIT."), (1, 1, "nothing"), (1, 2, None)], "doc_id int, idx int, text string")
     kept = fo.hinted(rows, fo.CUES)
     assert [r["idx"] for r in kept.collect()] == [0] and plan(kept).count("lower(") == 1
+
+
+def test_highlights_put_a_text_in_small_letters_once(spark):
+    rows = spark.createDataFrame([(1, 0, "The Supplier may charge a fee, and the SUPPLIER may not.")], "doc_id int, idx int, text string")
+    found = spark.createDataFrame([(1, 0, 1, "a", " supplier may "), (1, 0, 2, "b", "Customer")], "doc_id int, idx int, seq int, finding_id string, quote string")
+    shown = annotate.highlight_paragraphs(rows, found)
+    assert [[(r["start"], r["end"], r["id"]) for r in row["ranges"]] for row in shown.collect()] == [[(4, 16, "a"), (39, 51, "a")]]
+    joins = [x for x in plan(shown).splitlines() if "Join" in x]
+    assert joins and not any("lower(" in x for x in joins)
